@@ -106,13 +106,12 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         sized = space.save(sized.drop(text))
     slim = sized if not keep_text else space.save(sized.select(_S, _N, _H))
     goals = targets(slim.groupBy(_S).agg(F.sum(_N).alias(_N)), cycle, share, epochs)
-    plan = thresholds(space, slim, goals).withColumnRenamed(_S, "s")
-    out = ["source_size", "target", "full", "below"]
-    plan = plan.select("s", *[F.col(c).alias(OWN + c) for c in out])
-    found = sized.join(plan, F.col("s").eqNullSafe(F.col(_S)), "left").drop("s")
+    plan = thresholds(space, slim, goals)
+    plan = plan.select(F.col(_S).alias(OWN + "s"), *[F.col(c).alias(OWN + c) for c in ("source_size", "target", "full", "below")])
+    found = sized.join(plan, F.col(OWN + "s").eqNullSafe(F.col(_S)), "left").drop(OWN + "s")
     copies = F.col(OWN + "full") + (F.col(_H) < F.col(OWN + "below")).cast("long")
     found = found.withColumns({"size": F.col(_N), "source_size": F.col(OWN + "source_size"), "target": F.col(OWN + "target"), "copies": copies})
-    return found.withColumn("taken", F.col("copies") * F.col("size")).drop(_S, _N, _H, *[OWN + c for c in out])
+    return found.withColumn("taken", F.col("copies") * F.col("size")).drop(*[c for c in found.columns if c.startswith(OWN)])
 
 
 def repeat(mixed: DataFrame) -> DataFrame:

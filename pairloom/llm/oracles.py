@@ -24,4 +24,23 @@ b AS (
 SELECT d.doc_id, d.size, r.source_size, round(r.target, 6) AS target,
        CAST(d.size * (r.full_epochs + CASE WHEN d.h < coalesce(b.below, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
+    "op10_chat": r"""
+WITH e AS (
+  SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS speaker,
+         replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') AS text FROM conversations),
+n AS (SELECT *, turn // 1024 AS part, replace(replace(regexp_replace(speaker, '[ \t\n\r\f\v]+', '_', 'g'), '<|', '<\|'), '|>', '|\>') AS name FROM e),
+p AS (SELECT DISTINCT conv_id, speaker AS participant FROM n WHERE speaker <> 'system'),
+s AS (
+  SELECT n.conv_id, participant, part, turn, speaker, n.text, speaker = participant AS own,
+         '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head,
+         n.text || '<|im_end|>' || chr(10) AS body
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, row_number() OVER w AS k, CAST(sum(length(head) + length(body)) OVER w AS BIGINT) AS upto
+  FROM s WINDOW w AS (PARTITION BY conv_id, participant ORDER BY part, turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, participant, CAST(part AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_turns,
+       CAST(min(upto - length(head) - length(body)) AS BIGINT) AS start, string_agg(head || body, '' ORDER BY k) AS rendered,
+       coalesce(string_agg(CASE WHEN own THEN (upto - length(body)) || ':' || upto END, ',' ORDER BY k), '') AS mask,
+       CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS n_masked
+FROM o GROUP BY conv_id, participant, part""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, toxicity
+from . import bpe, chat, jaccard, mixing, pii, secret_scan, syncmers, toxicity
 from .common import table
+from .spans import text_form
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
@@ -25,6 +26,41 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_join(docs, k=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    counts = [_count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(text_form(F.col("base")), 256).alias("base_sha256"), text_form(F.col("spans")).alias("spans"))
+
+
+def _count(kind: str):
+    return F.size(F.filter(F.col("base"), lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digest(pii.annotate(docs, pii.fit(docs)), pii.KINDS)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digest(secret_scan.find_secrets(docs), secret_scan.KINDS)
+
+
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = syncmers.with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))
+    found = syncmers.anchors(docs.withColumn("edited", edited), {"text": "own", "edited": "changed", "next_text": "other"})
+    found = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.fingerprint(F.col("own")).alias("fingerprint"),
+                         syncmers.fingerprint(F.col("changed")).alias("edited_fingerprint"), *[F.array_distinct(c).alias(c) for c in ("own", "changed", "other")])
+    near = {f"near_{name}": syncmers.likeness(F.col("own"), F.col(c)) for name, c in (("edited", "changed"), ("next", "other"))}
+    return found.withColumns(near).drop("own", "changed", "other")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, cycle=(5, 2, 1), share=1.0, epochs=3, keep_text=False)
@@ -46,4 +82,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_ngram_join, op8_mixing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_toxicity, op3_ngram_join, op4_pii, op5_secret_scan, op6_syncmers, op8_mixing, op9_bpe, op10_chat)}
