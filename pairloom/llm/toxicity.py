@@ -24,7 +24,7 @@ from .common import OWN, Workspace
 
 ORDERS, DIM_BITS = (3, 4, 5), 20
 DIMS, SAMPLE, FEATURES, LEAST_G = 1 << DIM_BITS, 24_000, 16_384, 20.0
-BLOCK, ROWS, RANGES = 1 << 20, 256, 16
+BLOCK, ROWS, RANGES, SLICE = 1 << 20, 256, 16, 500_000
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, (max(ORDERS) + 1, max(ORDERS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -114,7 +114,7 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     kind = "part int, counts binary"
-    out = np.zeros((RANGES, width), np.int64)
+    out = np.zeros((RANGES, width), np.uint32)
     for row in sample.select("text", "label").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect():
         out[row.part] = np.frombuffer(pa.decompress(row.counts, width * 4, "zstd"), np.uint32)
     texts = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -123,28 +123,36 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _select(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """The features that depend on the label by the log-likelihood ratio, the strongest first."""
-    q, p = counts.astype(float)
+    held = np.flatnonzero(counts.sum(0) > 0)
+    q, p = counts[:, held].astype(float)
     total = texts.sum()
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
 
-    row, g = p + q, np.zeros(DIMS)
+    row, g = p + q, np.zeros(len(held))
     for seen, label in ((q, 0), (p, 1)):
         g += part(seen, row * texts[label] / total) + part(texts[label] - seen, (total - row) * texts[label] / total)
     best = np.argsort(-g, kind="stable")[:FEATURES]
-    return best[2 * g[best] > LEAST_G]
+    return held[best[2 * g[best] > LEAST_G]]
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, steps: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam over all rows; values[f] is what feature f is worth where it is present."""
+def _fit(cols: np.ndarray, lengths: np.ndarray, values: np.ndarray, y: np.ndarray, steps: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam over all rows; cols holds the rows' features one after another, and values[f] is what
+    feature f is worth where it is present. Rows are gone through a slice at a time, so that little is held at once."""
     w, b = np.zeros(len(values)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    x = values[cols]
+    upto = np.concatenate(([0], np.cumsum(lengths)))
+    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1], SLICE)), len(y)))
+    slices = [(i, j, np.repeat(np.arange(j - i, dtype=np.int32), lengths[i:j]), cols[upto[i] : upto[j]]) for i, j in zip(cuts, cuts[1:])]
     for t in range(1, steps + 1):
-        z = np.bincount(rows, x * w[cols], len(y)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
-        grad = np.append(np.bincount(cols, x * error[rows], len(w)) + penalty * w / len(w), error.sum())
+        grad, scaled = np.zeros(len(w) + 1), w * values
+        for i, j, rows, own in slices:
+            z = np.bincount(rows, scaled[own], j - i) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[i:j]) / len(y)
+            grad[:-1] += np.bincount(own, error[rows], len(w))
+            grad[-1] += error.sum()
+        grad[:-1] = grad[:-1] * values + penalty * w / len(w)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -194,9 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     rows = chosen.select("text", "label").mapInArrow(present, "label int, features binary").collect()
     rows.sort(key=lambda r: (r.label, r.features))  # whatever order they came in, the fit is the same
-    lengths = [len(r.features) // 2 for r in rows]
-    cols = np.frombuffer(b"".join(r.features for r in rows), np.uint16).astype(np.int64)
-    w, b = _fit(np.repeat(np.arange(len(rows)), lengths), cols, ratio, np.array([float(r.label) for r in rows]))
+    lengths = np.array([len(r.features) // 2 for r in rows])
+    y = np.array([float(r.label) for r in rows])
+    cols = np.frombuffer(b"".join(r.features for r in rows), np.uint16)
+    del rows
+    w, b = _fit(cols, lengths, ratio, y)
     return Model(features, w * ratio, b)
 
 
