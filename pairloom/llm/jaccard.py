@@ -6,9 +6,10 @@ Two texts link when their sets of distinct k-word shingles have 100 * intersecti
    at any input size). Equal sets form a class, searched once.
 2. A shingle's list is short or long by its counter: shingles are ordered rare first. By DivideSkip's bound, all but
    n - ceil(percent * n) + 1 lists of a text may count as long, so each text is posted only under its rarest shingles. Two
-   texts that link share one of these at least; length and position bounds drop pairs that can't reach their overlap.
+   texts that link share one of these at least. How many they share is counted: what is left of the text whose posted
+   shingles end first must make up for the rest of the overlap, which drops nearly all chance pairs and no link.
    A shingle with more than ``LONG`` texts is never paired up: its texts are chained by size, which keeps every pair that
-   may link in one candidate group, and a task sends on only one text for each size bin of such a list.
+   shares it and may link in one candidate group, and a task sends on only one text for each size bin of such a list.
 3. Components of the candidate pairs are candidate groups; ``linking`` searches each exactly (heap-merged short lists,
    binary-probed long ones).
 
@@ -27,10 +28,11 @@ from pyspark.sql import types as T
 from . import shingles as S
 from .common import OWN, Workspace, shuffle_partitions
 from .components import connected, forest
-from .linking import link_groups
+from .linking import blocked, link_groups
 
 CELL_BITS, RANGE_BITS = 22, 6
-CELLS, LONG, FLUSH, ROWS = 1 << CELL_BITS, 64, 1_000_000, 256
+CELLS, LONG, FLUSH, ROWS = 1 << CELL_BITS, 64, 500_000, 256
+#: Marks a posting that stands for others of its size bin.
 _REPRESENTS = np.uint32(0xFFFFFFFF)
 
 
@@ -117,10 +119,10 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _spread(keys, classes, n, places, percent):
+def _spread(keys, classes, n, lasts, percent):
     """Chain edges of the long lists, and the postings to send on: of long lists one for each size bin."""
     order = np.lexsort((n, keys))
-    keys, classes, n, places = keys[order], classes[order], n[order], places[order]
+    keys, classes, n, lasts = keys[order], classes[order], n[order], lasts[order]
     first = np.flatnonzero(_starts(keys))
     size = np.diff(np.append(first, len(keys)))
     long = np.repeat(size > LONG, size)
@@ -128,12 +130,12 @@ def _spread(keys, classes, n, places, percent):
     at = np.flatnonzero(long[1:] & (keys[1:] == keys[:-1]) & (bins[1:] - bins[:-1] <= 1))
     edges = np.stack([classes[at], classes[at + 1]], 1)
     keep = ~long | _starts(keys, bins)
-    places = np.where(long, _REPRESENTS, places)
-    return edges, keys[keep], classes[keep], n[keep], places[keep]
+    lasts = np.where(long, _REPRESENTS, lasts)
+    return edges, keys[keep], classes[keep], n[keep], lasts[keep]
 
 
 def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> DataFrame:
-    """Blobs of postings (shingle, class, size, place among the text's ordered shingles) by range of shingles."""
+    """Blobs of postings (shingle, class, size, first bits of the text's last posted shingle) by range of shingles."""
     def run(batches):
         import pyarrow as pa
 
@@ -156,7 +158,7 @@ def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> Da
                 columns = [pa.array([int(linked[0, 0]) % ranges], pa.int32()), *[pa.nulls(1, pa.binary())] * 4, pa.array([linked.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        names = ["range", "keys", "classes", "n", "places", "edges"]
+        names = ["range", "keys", "classes", "n", "lasts", "edges"]
         for batch in _slices(batches):
             for x in S.text_shingles(batch.column("text"), k):
                 if not len(x):
@@ -169,7 +171,7 @@ def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> Da
                 short = n - (percent * n + 99) // 100 + 1
                 own = (level[_cell(x)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8))
                 own = np.sort(np.partition(own, short - 1)[:short]) if short < n else np.sort(own)
-                parts.append((own, np.full(short, me), np.full(short, n, np.uint32), np.arange(short, dtype=np.uint32)))
+                parts.append((own, np.full(short, me), np.full(short, n, np.uint32), np.full(short, own[-1] >> np.uint64(48), np.uint32)))
                 waiting += short
             if waiting >= FLUSH:
                 yield from flush()
@@ -178,55 +180,70 @@ def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> Da
         if parts:
             yield from flush()
 
-    return texts.select("text").mapInArrow(run, "range int, keys binary, classes binary, n binary, places binary, edges binary")
+    return texts.select("text").mapInArrow(run, "range int, keys binary, classes binary, n binary, lasts binary, edges binary")
 
 
-def _pairs(keys, classes, n, places, percent) -> np.ndarray:
-    """Candidate edges among the postings of a range."""
+def _pairs(keys, classes, n, lasts, percent) -> np.ndarray:
+    """Rows (class, class, shared shingles, shared shingles needed) from the postings of a range."""
     order = np.lexsort((classes, n, keys))
-    keys, classes, n, places = keys[order], classes[order], n[order].astype(np.int64), places[order]
+    keys, classes, n, lasts = keys[order], classes[order], n[order].astype(np.int64), lasts[order]
     new = _starts(keys, classes)
-    flag = np.zeros(len(keys), bool)
-    if len(keys):
-        flag = np.maximum.reduceat(places == _REPRESENTS, np.flatnonzero(new))
-    keys, classes, n, places = keys[new], classes[new], n[new], places[new].astype(np.int64)
+    if not len(new):
+        return np.empty((0, 4), np.int64)
+    flag = np.maximum.reduceat(lasts == _REPRESENTS, np.flatnonzero(new))
+    keys, classes, n, lasts = keys[new], classes[new], n[new], lasts[new].astype(np.int64)
     first = np.flatnonzero(_starts(keys))
     size = np.diff(np.append(first, len(keys)))
-    if not len(first):
-        return np.empty((0, 2), np.int64)
     long = np.repeat((size > LONG) | np.maximum.reduceat(flag, first), size)
     bins = _bins(n, percent)
     at = np.flatnonzero(long[1:] & (keys[1:] == keys[:-1]) & (bins[1:] - bins[:-1] <= 1))
-    out = [np.stack([classes[at], classes[at + 1]], 1)]
+    out = [_pair_rows(classes[at], classes[at + 1], np.zeros(len(at), np.int64))]
     left = np.repeat(first + size, size) - np.arange(len(keys)) - 1
+    rest = (percent * n + 99) // 100 - 1  # elements that aren't posted
     at = np.flatnonzero(~long & (left > 0))
     for step in range(1, LONG):
         at = at[left[at] >= step]
         if not len(at):
             break
         to = at + step
-        bound = np.minimum(n[at] - places[at], n[to] - places[to])
-        good = (100 * n[at] >= percent * n[to]) & ((100 + percent) * bound >= percent * (n[at] + n[to]))
-        out.append(np.stack([classes[at[good]], classes[to[good]]], 1))
-    return np.unique(np.concatenate(out), axis=0)
+        ok = 100 * n[at] >= percent * n[to]
+        x, y = at[ok], to[ok]
+        overlap = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
+        beyond = np.where(lasts[x] < lasts[y], rest[x], np.where(lasts[x] > lasts[y], rest[y], np.maximum(rest[x], rest[y])))
+        out.append(_pair_rows(classes[x], classes[y], np.maximum(overlap - beyond, 0)))
+    rows = np.concatenate(out)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.flatnonzero(_starts(rows[:, 0], rows[:, 1]))
+    if not len(new):
+        return np.empty((0, 4), np.int64)
+    need = np.minimum.reduceat(rows[:, 2], new)
+    return np.column_stack([rows[new, :2], np.diff(np.append(new, len(rows))), need])
+
+
+def _pair_rows(a, b, need):
+    return np.column_stack([np.minimum(a, b), np.maximum(a, b), need])
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b between classes that may link."""
+    names = ["a", "b", "shared", "need"]
+
     def run(batches):
         import pyarrow as pa
 
-        def table(edges):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in edges], pa.int64()), pa.array([x[1] for x in edges], pa.int64())], ["a", "b"])
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i]), pa.int64()) for i in range(4)], names)
 
         def flush(rows):
             arrays = [np.frombuffer(b"".join(c), d) for c, d in zip(zip(*rows), (np.uint64, np.int64, np.uint32, np.uint32))]
-            return table(forest(map(tuple, _pairs(*arrays, percent).tolist())))
+            return table(_pairs(*arrays, percent))
 
         last, rows = None, []
         for batch in batches:
             for to, *blobs, edges in zip(*(c.to_pylist() for c in batch.columns)):
                 if edges is not None:
-                    yield table(np.frombuffer(edges, np.int64).reshape(-1, 2).tolist())
+                    pairs = np.frombuffer(edges, np.int64).reshape(-1, 2)
+                    yield table(np.column_stack([pairs, np.ones(len(pairs), np.int64), np.zeros(len(pairs), np.int64)]))
                     continue
                 if to != last and rows:
                     yield flush(rows)
@@ -236,21 +253,27 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return postings.repartition("range").sortWithinPartitions("range").mapInArrow(run, "a long, b long")
+    found = postings.repartition("range").sortWithinPartitions("range").mapInArrow(run, "a long, b long, shared long, need long")
+    enough = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    return enough.select("a", "b")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """grp, item (digest), items of texts whose class is the one expected."""
+    """grp, block, k, item (digest) and items of texts whose class is the one expected."""
+    kind = "grp long, block long, k long, item binary, items binary"
+
     def run(batches):
         import pyarrow as pa
 
         for batch in _slices(batches):
             sets = S.text_shingles(batch.column("text"), k)
-            out = [(g, d, x.tobytes()) for g, c, x in zip(batch.column("grp").to_pylist(), batch.column("class").to_pylist(), sets) if _class(d := S.digest(x)) == c]
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["grp", "item", "items"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "k", "class")), sets)
+            out = [(g, b, n, d, x.tobytes()) for g, b, n, c, x in rows if _class(d := S.digest(x)) == c]
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "block", "k", "item", "items"])
 
-    return texts.select("text", "grp", "class").mapInArrow(run, "grp long, item binary, items binary")
+    return texts.mapInArrow(run, kind)
 
 
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80) -> DataFrame:
@@ -266,11 +289,13 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     groups = connected(space, edges)
     classes = space.save(rows.where("n > 0").groupBy("digest").agg(
         F.first("class").alias("class"), F.first("n").alias("n"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "place")).alias("at")))
-    members = space.save(classes.join(groups, F.col("class") == F.col("node")).select(
-        "digest", "class", "n", F.col("root").alias("grp"), F.col("at.id").alias("at_id"), F.col("at.place").alias("at_place")))
-    found = texts.join(members, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("place") == F.col("at_place")))
+    members = classes.join(groups, F.col("class") == F.col("node")).select(
+        F.col("digest").alias("item"), "class", "n", F.col("root").alias("grp"), F.col("at.id").alias("at_id"), F.col("at.place").alias("at_place"))
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("m"))
-    linked = space.save(link_groups(space, _sets(found.select("text", "grp", "class"), k), space.save(sizes), percent))
+    members = space.save(blocked(members, sizes))
+    found = texts.join(members, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("place") == F.col("at_place")))
+    split = not members.where("k > 1").isEmpty()
+    linked = space.save(link_groups(space, _sets(found.select("text", "grp", "block", "k", "class"), k), percent, split))
     labels = linked.join(classes, F.col("item") == F.col("digest")).select("item", "root", "id")
     least = labels.groupBy("root").agg(F.min("id").alias("least"), F.min("item").alias("name")).withColumnRenamed("root", "r")
     labels = labels.join(least, F.col("root") == F.col("r")).select("item", "least", "name")

@@ -197,34 +197,30 @@ def _settle(pairs: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def link_groups(space: Workspace, sets: DataFrame, sizes: DataFrame, percent: int, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(item, root) for sets (grp long, item binary, items binary of sorted uint64): root is the same for linked items.
+def blocked(members: DataFrame, sizes: DataFrame, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """members (grp, item, ...) with their block and their group's number of blocks k. sizes: grp, n (sets), m (elements)."""
+    sizes = sizes.select(F.col("grp").alias("g"), F.ceil(F.greatest(F.col("n") / float(block), F.col("m") / float(block_items), F.lit(1.0))).alias("k"))
+    return members.join(sizes, F.col("grp") == F.col("g")).drop("g").withColumn("block", F.pmod(F.xxhash64("item"), F.col("k")))
 
-    sizes: grp, n (sets), m (elements); a set in more than one group is linked in each.
-    """
-    def blocks(df, n, m):
-        k = F.ceil(F.greatest(n / float(block), m / float(block_items), F.lit(1.0)))
-        return df.withColumn("block", F.pmod(F.xxhash64("item"), k)).withColumn("k", k)
-
-    big = sizes.withColumnRenamed("grp", "g")
-    parts = blocks(sets.join(big, F.col("grp") == F.col("g")), F.col("n"), F.col("m")).withColumn("radius", F.lit(0.0))
-    split = not sizes.where((F.col("n") > block) | (F.col("m") > block_items)).isEmpty()
-    first = space.save(_round(parts, percent))
+
+def link_groups(space: Workspace, sets: DataFrame, percent: int, split: bool, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(item, root) for sets (grp, block, k as from blocked(), item binary, items binary of sorted uint64): root is the same for
+    linked items. split: whether any group has more than one block. A set in more than one group is linked in each."""
+    first = space.save(_round(sets.withColumn("radius", F.lit(0.0)), percent))
     kept = first.where("other is null")
     if not split:
         return kept.select("item", "root")
     edges, unsure, members = [kept.select(F.col("item").alias("a"), F.col("root").alias("b"))], [first.where("other is not null").select("item", "other")], [kept.select("item", "leader", "away")]
-    many = sizes.where((F.col("n") > block) | (F.col("m") > block_items)).select(F.col("grp").alias("g"))
-    now, last = kept.join(many, F.col("grp") == F.col("g"), "left_semi"), None
+    now, last = kept, None  # only leaders of split groups have their items
     while True:
         tops = now.where("items is not null").select("grp", "item", "items", "radius")
-        sums = tops.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items") / 8).alias("m")).withColumnRenamed("grp", "g")
+        sums = tops.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items") / 8).alias("m"))
         top = sums.agg(F.sum("n"), F.sum(F.ceil(F.greatest(F.col("n") / float(block), F.col("m") / float(block_items)))), F.count(F.lit(1))).first()
         alone = top[0] is None or top[1] == top[2]
         if not alone and last == top[0]:
             block *= 2  # no leader was merged in the last round: larger blocks, or it would not end
         last = top[0]
-        step = space.save(_round(blocks(tops.join(sums, F.col("grp") == F.col("g")), F.col("n"), F.col("m")), percent))
+        step = space.save(_round(blocked(tops, sums, block, block_items), percent))
         now = step.where("other is null")
         edges.append(now.select(F.col("item").alias("a"), F.col("root").alias("b")))
         members.append(now.where("item != leader").select("item", "leader", "away"))
