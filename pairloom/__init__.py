@@ -1,0 +1 @@
+"""Text-pair evaluation and sequence preparation as Spark DataFrame operators."""
