@@ -263,7 +263,11 @@ def encode(docs: DataFrame, codec: Codec, *, text: str = "text", packed: bool =
                 batch = big.slice(at, ROWS)
                 ids = [own.encode(x or "") for x in batch.column(text).to_pylist()]
                 out = [batch.column(c) for c in kept] + [pa.array([len(x) // 4 for x in ids], pa.int64())]
-                out.append(pa.array(ids, pa.binary()) if packed else pa.array([unpack(x).tolist() for x in ids], pa.list_(pa.int32())))
+                if packed:
+                    out.append(pa.array(ids, pa.binary()))
+                else:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 if decoded:
                     out.append(pa.array(own.decode(ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, [*kept, *added])

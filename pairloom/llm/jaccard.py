@@ -21,7 +21,7 @@ included; null ids are kept, and a class's label is its smallest id that isn't n
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -276,9 +276,18 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, kind)
 
 
+def _among(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """texts without most of those that are no member, so that these aren't shuffled: a bitmap of 2**24 hashes as at most 2**18
+    rows of 64 bits, whose size bounds the broadcast. With very many members it lets more texts by, never fewer."""
+    word = lambda c: F.shiftrightunsigned(c, 46)
+    bits = members.groupBy(word(F.col("at_place")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(at_place, 40) & 63 as int))")).alias("bits"))
+    held = F.expr("shiftrightunsigned(bits, cast(shiftrightunsigned(place, 40) & 63 as int)) & 1") == 1
+    return texts.join(F.broadcast(bits), word(F.col("place")) == F.col("word")).where(held).drop("word", "bits")
+
+
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80) -> DataFrame:
-    """One row a row of docs: its id under its name, n_shingles, component_id (the smallest id of all that links reach), and
-    component_class, a digest that names the component even where ids are null or repeated."""
+    """One row a row of docs: its id under its name, n_shingles, component_id (the smallest id of all that links reach),
+    component_class (a digest that names the component even where ids are null or repeated) and text_hash (xxhash64)."""
     spark = docs.sparkSession
     space = Workspace(spark, "ngram-join")
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
@@ -293,7 +302,7 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
         F.col("digest").alias("item"), "class", "n", F.col("root").alias("grp"), F.col("at.id").alias("at_id"), F.col("at.place").alias("at_place"))
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("m"))
     members = space.save(blocked(members, sizes))
-    found = texts.join(members, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("place") == F.col("at_place")))
+    found = _among(texts, members).join(members, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("place") == F.col("at_place")))
     split = not members.where("k > 1").isEmpty()
     linked = space.save(link_groups(space, _sets(found.select("text", "grp", "block", "k", "class"), k), percent, split))
     labels = linked.join(classes, F.col("item") == F.col("digest")).select("item", "root", "id")
@@ -302,4 +311,19 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     own = classes.select(F.col("digest").alias("d"), F.col("id").alias("own"))
     label = space.save(own.join(labels, F.col("d") == F.col("item"), "left").select("d", F.coalesce("least", "own").alias("least"), F.coalesce("name", "d").alias("name")))
     out = rows.join(label, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.coalesce("name", "digest").alias("component_class"))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.coalesce("name", "digest").alias("component_class"), F.col("place").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each component: the one of the smallest id (null last), then of the smallest text
+    hash. Rows without shingles all stay."""
+    found = ngram_join(docs, doc_id=doc_id, text=text, k=k, percent=percent)
+    row = F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("text_hash").alias("hash"))
+    alone = F.when(F.col("n_shingles") == 0, row)
+    kept = found.groupBy("component_class", alone.alias("alone")).agg(F.min(row).alias("row"), F.max("n_shingles").alias("n"))
+    kept = kept.select(F.col("row.id").alias(OWN + "id"), F.col("row.hash").alias(OWN + "kept"), (F.col("n") == 0).alias(OWN + "all"))
+    rows = docs.withColumn(OWN + "hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col(OWN + "id")) & (F.col(OWN + "hash") == F.col(OWN + "kept")))
+    again = Window.partitionBy(OWN + "id", OWN + "kept").orderBy(OWN + "all")
+    rows = rows.withColumn(OWN + "n", F.row_number().over(again)).where(F.col(OWN + "all") | (F.col(OWN + "n") == 1))
+    return rows.select(*[F.col(c) for c in docs.columns])

@@ -28,6 +28,8 @@ from .common import Workspace
 from .components import UnionFind, connected
 
 BLOCK, BLOCK_ITEMS = 2048, 2_000_000
+#: How many leaders are tried directly before a search.
+TRIED = 16
 #: Weight of a probe against a merge step, for choosing how many lists count as long.
 PROBE = 0.1
 _SLACK = 1e-9
@@ -95,10 +97,33 @@ def link(sets: list[np.ndarray], radii: list[float], percent: int) -> tuple[list
     for; and pairs of leaders in different components that stand for sets which may link.
     """
     reach, index, leaders, unsure = 1 - percent / 100, Index(), [], []
+
+    def linked(a, b) -> bool:
+        inter = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * inter >= percent * (len(a) + len(b) - inter)
+
+    def alone(found, leaders) -> bool:
+        first = found.root(leaders[0])
+        return all(found.root(p) == first for p in leaders)
+
+    def popular(leaders, members):
+        return sorted(leaders, key=lambda p: -len(members[p]))[:TRIED]
+
     found, members = UnionFind(), {}
     leader_of, away, radius = [0] * len(sets), [0.0] * len(sets), [0.0] * len(sets)
     widest = 0.0
     for me, own in enumerate(sets):
+        # All leaders so far in one component: a link to any of them settles where the set belongs, so the ones with the most
+        # members are tried first.
+        if leaders and not radii[me] and not widest > reach and alone(found, leaders):
+            home = next((p for p in popular(leaders, members) if linked(own, sets[p])), None)
+            if home is not None:
+                d = distance(own, sets[home])
+                found.join(home, me)
+                leader_of[me], away[me] = home, d
+                members[home].append((d, me))
+                radius[home], widest = max(radius[home], d), max(widest, d)
+                continue
         items = own.tolist()
         least = 1 - min(1.0, reach + max(widest, reach) + radii[me])
         if least > _SLACK:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, mixing, pii, secret_scan, syncmers, toxicity
+from . import bpe, chat, graph_search, jaccard, mixing, pii, secret_scan, syncmers, toxicity
 from .common import table
 from .spans import text_form
 
@@ -57,6 +57,11 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(near).drop("own", "changed", "other")
 
 
+def op7_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_search.nearest(vectors, F.col("id") % 50 == 0, k=5)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -83,4 +88,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op3_ngram_join, op4_pii, op5_secret_scan, op6_syncmers, op8_mixing, op9_bpe, op10_chat)}
+    op2_toxicity, op3_ngram_join, op4_pii, op5_secret_scan, op6_syncmers, op7_graph_search, op8_mixing, op9_bpe, op10_chat)}
