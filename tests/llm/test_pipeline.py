@@ -15,7 +15,7 @@ def test_every_stage_takes_effect(spark, tmp_path):
         if name == "ngram_join":
             assert 100 not in got and 102 in got and len(got) == 62
         if name == "secret_scan":
-            assert got[101] == "set [assign] in a text"
+            assert got[101] == 'set [assign]" in a text'
     assert now.agg({"doc_id": "count"}).first()[0] > 0
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert last and all(r.round_trip and r.n_tokens == len(r.ids) for r in last)
