@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import OWN
-from .spans import SPAN, located, masked, ordered, scan, text_form
+from .spans import SPAN, located, masked, ordered, scan
 
 BLOCK = 256
 KINDS = ("assign", "access", "hex")
