@@ -1,6 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Edges never meet on the driver: it sees two numbers a round. Each round first contracts the edges of every partition to a
+Edges never meet on the driver: it sees two numbers a round. Once at most ``CHUNK`` edges are left one task settles them. Before
+that each round first contracts the edges of every partition to a
 spanning forest in bounded chunks, so that a node with very many edges sends on at most one edge a chunk, then links every
 node's neighbours to its smallest one with partial aggregation and joins that Spark can split when a key is hot.
 """
@@ -88,12 +89,17 @@ def connected(space: Workspace, edges: DataFrame) -> DataFrame:
     now = space.save(contract(edges.where(F.col("a") != F.col("b"))).distinct())
     mark = None
     while True:
-        new = space.save(_star(now))
-        space.drop(now)
-        now = new
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if got[0] <= CHUNK:  # what one bounded chunk holds is settled at once
+            done = space.save(contract(now.coalesce(1)))
+            space.drop(now)
+            now = done
+            break
         if tuple(got) == mark:
             break
         mark = tuple(got)
+        new = space.save(_star(contract(now)))
+        space.drop(now)
+        now = new
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
