@@ -9,7 +9,8 @@ n searches of a few leaders and not n * n.
 
 Groups over ``BLOCK`` sets or ``BLOCK_ITEMS`` elements are split into blocks by hash. Each block is linked on its own;
 then the blocks' leaders, with the radius of what they stand for, form the next round's groups, until each group is one
-block. Pairs of leaders that are too far to link but near enough for their members to do so are settled last, by searching
+block. Where a round merges few leaders, another one would not help: then every two half blocks of a group meet in a task of
+their own, which ends it. Pairs of leaders that are too far to link but near enough for their members to do so are settled last, by searching
 the one's members for each of the other's until one links.
 """
 
@@ -28,6 +29,8 @@ from .common import Workspace
 from .components import UnionFind, connected
 
 BLOCK, BLOCK_ITEMS = 2048, 2_000_000
+#: A round that leaves more than this share of the leaders is the last but one.
+MERGED = 0.9
 #: How many leaders are tried directly before a search.
 TRIED = 16
 #: Weight of a probe against a merge step, for choosing how many lists count as long.
@@ -228,6 +231,15 @@ def blocked(members: DataFrame, sizes: DataFrame, block: int = BLOCK, block_item
     return members.join(sizes, F.col("grp") == F.col("g")).drop("g").withColumn("block", F.pmod(F.xxhash64("item"), F.col("k")))
 
 
+def paired(members: DataFrame, sizes: DataFrame, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """members once for each pair of half blocks of their group that they are in, the pair being the block: all of a group's
+    members meet, and a pair is no larger than a block."""
+    halves = blocked(members, sizes, block / 2, block_items / 2)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: (j != F.col("block")) | (F.col("k") == 1))
+    both = halves.withColumn("other", F.explode(others))
+    return both.withColumn("block", F.least("block", "other") * F.col("k") + F.greatest("block", "other")).drop("other").withColumn("k", F.lit(1).cast("long"))
+
+
 def link_groups(space: Workspace, sets: DataFrame, percent: int, split: bool, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(item, root) for sets (grp, block, k as from blocked(), item binary, items binary of sorted uint64): root is the same for
     linked items. split: whether any group has more than one block. A set in more than one group is linked in each."""
@@ -242,15 +254,14 @@ def link_groups(space: Workspace, sets: DataFrame, percent: int, split: bool, bl
         sums = tops.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items") / 8).alias("m"))
         top = sums.agg(F.sum("n"), F.sum(F.ceil(F.greatest(F.col("n") / float(block), F.col("m") / float(block_items)))), F.count(F.lit(1))).first()
         alone = top[0] is None or top[1] == top[2]
-        if not alone and last == top[0]:
-            block *= 2  # no leader was merged in the last round: larger blocks, or it would not end
+        stuck = not alone and last is not None and top[0] > MERGED * last
         last = top[0]
-        step = space.save(_round(blocked(tops, sums, block, block_items), percent))
+        step = space.save(_round((paired if stuck else blocked)(tops, sums, block, block_items), percent))
         now = step.where("other is null")
         edges.append(now.select(F.col("item").alias("a"), F.col("root").alias("b")))
         members.append(now.where("item != leader").select("item", "leader", "away"))
         unsure.append(step.where("other is not null").select("item", "other"))
-        if alone:
+        if alone or stuck:
             break
     union = lambda x: x[0] if len(x) == 1 else x[0].unionByName(union(x[1:]))
     roots = connected(space, union(edges)).select("node", "root")

@@ -99,6 +99,26 @@ def test_link_finds_every_component():
         assert [[roots[i] == roots[j] for j in range(40)] for i in range(40)] == [[root(i) == root(j) for j in range(40)] for i in range(40)]
 
 
+def test_leaders_that_do_not_merge_end(spark, monkeypatch):
+    import numpy as np
+
+    rounds, plain = [], linking._round
+    monkeypatch.setattr(linking, "_round", lambda *a: plain(*a) if rounds.append(a) or len(rounds) < 8 else pytest.fail("no end"))
+    common = np.arange(20, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, 1000 * np.uint64(i + 1) + np.arange(20, dtype=np.uint64)])) for i in range(24)]  # Jaccard 1/3
+    sets += [np.sort(np.append(s[:-1], np.uint64(10**6 + i))) for i, s in enumerate(sets[:6])]  # near copies, in any block
+    names = [bytes([i]) for i in range(len(sets))]
+    rows = spark.createDataFrame([(g, bytearray(n if g == 1 else n + b"x"), bytearray(s.tobytes())) for n, s in zip(names, sets) for g in (1, 2) if g == 1 or n < b"\x02"], "grp long, item binary, items binary")
+    sizes = rows.groupBy("grp").agg(F.count("item").alias("n"), F.sum(F.length("items") / 8).alias("m"))
+    space = linking.Workspace(spark, "test")
+    got = linking.link_groups(space, linking.blocked(rows, sizes, 100, 200), 80, True, 100, 200).collect()
+    root = {bytes(r.item): bytes(r.root) for r in got}
+    assert len(root) == len(sets) + 2
+    for i in range(len(sets)):
+        for j in range(i):
+            assert (root[names[i]] == root[names[j]]) == (i - j == 24)
+
+
 def test_join_keeps_one_of_each_group(spark, odd):
     found = jaccard.ngram_join(odd)
     assert found.count() == 7
