@@ -197,6 +197,17 @@ def test_graph_search(spark):
     assert graph_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_recall_in_a_full_shard():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x, q = (graph_search._unit(rng.normal(size=(n, 64))) for n in (graph_search.SHARD, 200))
+    graph, entry = graph_search.build(x)
+    found, _ = graph_search._beam(x, graph, entry, q, graph_search.QUERY_BEAM)
+    true = np.argsort(-(q @ x.T), 1)[:, :5]
+    assert sum(len(set(a[:5]) & set(b)) for a, b in zip(found.tolist(), true.tolist())) >= 0.98 * true.size
+
+
 def test_mixing(spark, odd):
     mixed = mixing.mix(odd)
     assert mixed.count() == 7 and {"root", "s"} <= set(mixed.columns)
