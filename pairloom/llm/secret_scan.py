@@ -8,9 +8,10 @@ identifier, a hexadecimal run of 16 or more. Weak candidates are reported only n
 * a secret (a token of 20 or more characters with a capital, a small letter and a digit; or a password-like name set to a
   shorter value of 6 or more) needs an identifier or an endpoint (URL or host with port) in its scope.
 
-Scopes are blocks of ``BLOCK`` code points; parts are in each other's scope in the same or neighbouring blocks. This is an
-interval join on block numbers inside each text: the blocks that hold a kind of part are made distinct first, so a text
-with very many parts costs no pairs, and nothing is shuffled.
+Two parts are in each other's scope if at most ``SCOPE`` code points lie between the end of the one and the start of the
+other, however long they are and wherever in the text. This is an interval join inside each text: the scopes of a kind of
+part are merged first, of which a text then holds no more than one for every two ``SCOPE`` of its length, so a text with
+very many parts costs no pairs, and nothing is shuffled.
 
 Defined results: a null or empty text has no findings; weak findings inside a base one are dropped; repeated rows are each
 scanned; columns of the input are kept, those added replace columns of the same name.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import OWN
 from .spans import SPAN, located, masked, ordered, scan
 
-BLOCK = 256
+SCOPE = 511
 KINDS = ("assign", "access", "hex")
 _VALUE = r"[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 #: Fixed patterns of the findings and the weak parts.
@@ -44,15 +45,21 @@ def _value(match: Column, kind: str) -> Column:
 
 
 def _near(spans: Column) -> Column:
-    """The blocks in whose scope one of the spans is."""
-    own = F.array_distinct(F.transform(spans, lambda x: F.floor(x["start"] / BLOCK)))
-    return F.array_distinct(F.flatten(F.transform(own, lambda b: F.array(b - 1, b, b + 1))))
+    """What is in the scope of one of the spans: (start, end) in order, those that touch made one."""
+    wide = F.sort_array(F.transform(spans, lambda x: F.struct((x["start"] - SCOPE).alias("start"), (x["end"] + SCOPE).alias("end"))))
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        touching = F.coalesce(x["start"] <= last["end"], F.lit(False))
+        return F.when(touching, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(wide, F.expr(f"cast(array() as {SPAN})"), step)
 
 
 def _join(spans: Column, near: Column) -> Column:
-    """The spans of which a block is among near."""
-    blocks = F.array_intersect(F.transform(spans, lambda x: F.floor(x["start"] / BLOCK)), near)
-    return F.filter(spans, lambda x: F.array_contains(blocks, F.floor(x["start"] / BLOCK)))
+    """The spans that reach into one of near."""
+    return F.filter(spans, lambda x: F.exists(near, lambda y: (y["start"] <= x["end"]) & (x["start"] <= y["end"])))
 
 
 def _apart(spans: Column, base: Column) -> Column:

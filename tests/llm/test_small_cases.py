@@ -197,6 +197,21 @@ def test_graph_search(spark):
     assert graph_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_secrets_link_by_their_gap(spark):
+    long, name, site = "aB3dEfGh" * 200, "ABCDEFGH12345678", "https://x.org/a"
+    rows, far = [], secret_scan.SCOPE
+    for shift in (0, 1, 100, 255):
+        for gap in (1, 200, far - 1, far, far + 1, 900):
+            for left, right in ((name, long), (long, name), (long, site), (site, long), (name, "token=abc1234")):
+                rows.append((len(rows), ". " * (shift // 2) + " " * (shift % 2) + left + " " * gap + right, shift, gap, left, right))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs).select("doc_id", text_form(F.col("spans")).alias("spans")).collect()}
+    for i, _, shift, gap, left, right in rows:
+        kind = {name: "access", long: "token", site: ""}
+        at = [(kind.get(left, "assign"), shift, shift + len(left)), (kind.get(right, "assign"), shift + len(left) + gap, shift + len(left) + gap + len(right))]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in at if k and gap <= far), rows[i][2:4]
+
+
 def test_recall_in_a_full_shard():
     import numpy as np
 
