@@ -1,12 +1,15 @@
 """Substring dedup: repeated paragraphs by MinHash banding, exact Jaccard and components.
 
 Units are a text's lines, and the sentences of lines that hold more than one (so a passage set into other text is seen by the
-sentences it brings), with ``LEAST`` words or more. A unit's set is its distinct 5-word shingles. Lines are banded: ``tune``
+sentences it brings), with ``LEAST`` words or more, and windows of ``WINDOW`` words of the whole text that need no line break or
+punctuation: of every ``WINDOW`` that begin one after another, the one of the smallest hash. So a passage of
+2 * ``WINDOW`` - 1 words or more has a window in common with its copy, wherever it begins and ends. A unit's set is its distinct 5-word shingles. Lines are banded: ``tune``
 finds the bands and rows a band that give the wanted recall at the threshold with fewest hashes; sentences, being short, have
-one band that is the digest of the set, as an edit inside one brings it below the threshold anyway. Units of one band value
+one band that is the digest of the set, as an edit inside one brings it below the threshold anyway; windows match if their
+words do. Units of one band value
 are chained by size into candidate groups, never paired up, and ``linking`` verifies each group by exact Jaccard. Units of
 one component form a cluster; its first occurrence (smallest id, then place) stays and all others are removals. Removals and
-kept occurrences of a text that follow each other are merged; spans under ``SPAN`` words are no passages and left alone.
+kept occurrences of a text that follow each other are merged, each kind by itself; spans under ``SPAN`` words are no passages and left alone.
 
 Defined results: a null or empty text has no units; null ids sort last; rows alike in id and text count once; a passage
 repeated inside one text is found too. Whole texts are read; offsets are code points, ends exclusive.
@@ -27,7 +30,7 @@ from .components import connected, forest
 from .jaccard import _among, _bins, _class, _slices, _starts
 from .linking import blocked, link_groups
 
-LEAST, SPAN, GAP, FLUSH = 8, 20, 60, 500_000
+LEAST, SPAN, GAP, FLUSH, WINDOW = 8, 20, 60, 500_000, 20
 _LINE, _SENTENCE = re.compile(r"[^\n]+"), re.compile(r"\S.*?(?:[.!?](?=\s)|$)")
 
 
@@ -53,8 +56,50 @@ def _units(text: str):
                 yield x, y, False
 
 
-def _sets_of(texts: list[str], k: int):
-    """Every unit of some texts with LEAST words or more: (text number, start, end, line, words, set)."""
+class _Words:
+    """The words of some texts: hashes, their texts and places (code points from the start of all, a text's being in base)."""
+
+    def __init__(self, texts: list[str]):
+        import pyarrow as pa
+
+        data, offsets = S.column_bytes(pa.array([t + "\n" for t in texts], pa.large_string()))
+        self.hashes, self.first = S.words(data, offsets)
+        edge = np.flatnonzero(np.diff(~S._SPACE[data], prepend=False))
+        place = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+        self.start, self.end, self.base = place[edge[0::2]], place[edge[1::2]], place[offsets]
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+    def windows(self):
+        """Arrays by window chosen: text number, start, end, number of its first word, class."""
+        n, w = len(self.hashes) - WINDOW + 1, WINDOW
+        whole = np.flatnonzero(self.text[2 * w - 2 :] == self.text[: max(n - w + 1, 0)])
+        if not len(whole):
+            return [np.empty(0, np.int64)] * 5
+        keys = np.zeros(n, np.uint64)
+        for j in range(w):
+            keys += self.hashes[j : n + j] * S._PLACE[j]
+        keys = S.mix(keys)
+        least = np.lib.stride_tricks.sliding_window_view(keys, w).argmin(1)
+        chosen = np.zeros(n, bool)
+        chosen[whole + least[whole]] = True
+        at = np.flatnonzero(chosen)
+        # Of equal windows that overlap, as in a text of one word, one stays.
+        by = np.lexsort((at, keys[at], self.text[at]))
+        by = at[by]
+        if ((keys[by[1:]] == keys[by[:-1]]) & (by[1:] - by[:-1] < w)).any():
+            last = kept = None
+            for i, (x, key) in enumerate(zip(by.tolist(), keys[by].tolist())):
+                if last is not None and key == last and 0 <= x - kept < w:
+                    chosen[x] = False
+                else:
+                    last, kept = key, x
+            at = np.flatnonzero(chosen)
+        text = self.text[at]
+        return text, self.start[at] - self.base[text], self.end[at + w - 1] - self.base[text], at - self.first[text], keys[at].view(np.int64)
+
+
+def _sets_of(texts: list[str], k: int, all_words: _Words):
+    """Every unit of some texts with LEAST words or more: (text number, start, end, line, words, set, number of its first word)."""
     import pyarrow as pa
 
     places = [(i, *u) for i, t in enumerate(texts) for u in _units(t)]
@@ -63,13 +108,15 @@ def _sets_of(texts: list[str], k: int):
     found, first = S.words(*S.column_bytes(pa.array([texts[i][a:b] for i, a, b, _ in places], pa.large_string())))
     count = np.diff(first)
     sets = S.shingles(found, first, k)
-    return [(*p, int(n), x) for p, n, x in zip(places, count, sets) if n >= LEAST]
+    text = np.array([p[0] for p in places])
+    begin = np.searchsorted(all_words.start, all_words.base[text] + np.array([p[1] for p in places])) - all_words.first[text]
+    return [(*p, int(n), x, int(b)) for p, n, x, b in zip(places, count, sets, begin) if n >= LEAST]
 
 
 def _scan(texts: DataFrame, k: int, bands: int, rows: int, percent: int, ranges: int) -> DataFrame:
     """Occurrences of units, and blobs of band postings by range; each row is one or the other."""
     schema = T.StructType([T.StructField(c, texts.schema[c].dataType) for c in ("id", "place")])
-    for c, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("class", T.LongType()), ("n", T.LongType()), ("range", T.IntegerType()), ("keys", T.BinaryType()), ("classes", T.BinaryType()), ("sizes", T.BinaryType())):
+    for c, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("word", T.IntegerType()), ("class", T.LongType()), ("n", T.LongType()), ("range", T.IntegerType()), ("keys", T.BinaryType()), ("classes", T.BinaryType()), ("sizes", T.BinaryType())):
         schema.add(c, t)
     factors = np.random.default_rng(5).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -93,14 +140,16 @@ def _scan(texts: DataFrame, k: int, bands: int, rows: int, percent: int, ranges:
             if len(chain):
                 blobs.append((int(chain[0, 0]) % ranges, None, chain.tobytes(), None))
             m = len(blobs)
-            none = [pa.nulls(m, kinds[0]), pa.nulls(m, kinds[1]), *[pa.nulls(m, pa.int32())] * 3, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
+            none = [pa.nulls(m, kinds[0]), pa.nulls(m, kinds[1]), *[pa.nulls(m, pa.int32())] * 4, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array([b[0] for b in blobs], pa.int32()), *[pa.array([b[i] for b in blobs], pa.binary()) for i in (1, 2, 3)]], schema.names)
 
         for batch in _slices(batches):
             kinds = [batch.schema.field("id").type, batch.schema.field("place").type]
             ids, hashes = batch.column("id").to_pylist(), batch.column("place").to_pylist()
-            units = _sets_of(batch.column("text").to_pylist(), k)
-            names = [_class(S.digest(x)) for *_, x in units]
+            texts = batch.column("text").to_pylist()
+            all_words = _Words(texts)
+            units = _sets_of(texts, k, all_words)
+            names = [_class(S.digest(u[5])) for u in units]
             fresh = []
             for name, u in zip(names, units):
                 if u[3] and name not in seen:
@@ -118,8 +167,13 @@ def _scan(texts: DataFrame, k: int, bands: int, rows: int, percent: int, ranges:
                 waiting += bands * len(fresh)
             m = len(units)
             columns = [pa.array([ids[u[0]] for u in units], kinds[0]), pa.array([hashes[u[0]] for u in units], kinds[1]),
-                       *[pa.array([u[i] for u in units], pa.int32()) for i in (1, 2, 4)], pa.array(names, pa.int64()), pa.array([len(u[5]) for u in units], pa.int64())]
+                       *[pa.array([u[i] for u in units], pa.int32()) for i in (1, 2, 4, 6)], pa.array(names, pa.int64()), pa.array([len(u[5]) for u in units], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema.names)
+            text, start, end, word, names = all_words.windows()
+            if m := len(text):
+                of = [batch.column(c).take(pa.array(text)) for c in ("id", "place")]
+                places = [pa.array(c, pa.int32()) for c in (start, end, np.full(m, WINDOW), word)]
+                yield pa.RecordBatch.from_arrays([*of, *places, pa.array(names), pa.array(np.full(m, WINDOW)), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema.names)
             if waiting >= FLUSH:
                 yield flush()
                 parts, waiting = [], 0
@@ -185,11 +239,15 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     bands, rows = tune(percent / 100, recall)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
     scanned = space.save(_scan(texts, k, bands, rows, percent, 4 * shuffle_partitions(spark)))
-    seen = scanned.where("range is null").select("id", "place", "start", "end", "words", "class", "n")
+    seen = scanned.where("range is null").select("id", "place", "start", "end", "words", "word", "class", "n")
     groups = connected(space, _edges(scanned.where("range is not null"), percent))
+    # Most units occur once and are like no other: only the rest is kept, and what was scanned is not read again.
+    again = seen.groupBy("class").agg(F.count(F.lit(1)).alias("times")).join(groups, F.col("class") == F.col("node"), "left").where("times > 1 or node is not null")
+    seen = space.save(seen.join(again.select(F.col("class").alias("cls")), F.col("class") == F.col("cls"), "left_semi"))
+    space.drop(scanned)
     at = F.struct(F.col("id").isNull().alias("no"), "id", "place", "start", "end")
     classes = space.save(seen.groupBy("class").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("at"), F.max("n").alias("n"))
-                         .join(groups, F.col("class") == F.col("node"), "left").where("times > 1 or node is not null"))
+                         .join(groups, F.col("class") == F.col("node"), "left"))
     item = F.unhex(F.lpad(F.hex("class"), 16, "0"))
     members = classes.where("node is not null").select(item.alias("item"), "class", "n", F.col("root").alias("grp"), F.col("at.id").alias("at_id"), F.col("at.place").alias("at_place"), "at.start", "at.end")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("m"))
@@ -201,22 +259,22 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     own = own.join(linked, F.col("own") == F.col("item"), "left").withColumn("cluster", F.coalesce("root", "own"))
     whole = own.groupBy("cluster").agg(F.sum("times").alias("times"), F.min("at").alias("first")).where("times > 1").withColumnRenamed("cluster", "c")
     label = own.join(whole, F.col("cluster") == F.col("c")).select(F.col("class").alias("cls"), F.lower(F.hex("cluster")).alias("cluster"), F.struct("first.id", "first.place", "first.start").alias("first"))
-    hits = seen.join(space.save(label), F.col("class") == F.col("cls")).dropDuplicates(["id", "place", "start", "end"])
+    hits = seen.join(space.save(label), F.col("class") == F.col("cls")).dropDuplicates(["id", "place", "start", "end", "class"])
     here = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.place") == F.col("place")) & (F.col("first.start") == F.col("start"))
-    unit = F.struct("start", "end", "words", "cluster", F.col("first.id").alias("first_id"), (~here).alias("removed"))
+    unit = F.struct("start", "end", "words", "cluster", F.col("first.id").alias("first_id"), (~here).alias("removed"), (F.col("word") + F.col("words")).alias("upto"))
     # All units of one text: as many as it has lines and sentences.
     per = hits.groupBy("id", "place").agg(F.sort_array(F.collect_list(unit)).alias("units"))
 
     def step(acc, x):
         last = F.element_at(acc, -1)
-        touching = (F.size(acc) > 0) & (x["start"] <= last["end"] + GAP) & (x["removed"] == last["removed"])
-        inside = x["end"] <= last["end"]
-        new = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), (last["words"] + F.when(inside, 0).otherwise(x["words"])).alias("words"), last["cluster"].alias("cluster"), last["first_id"].alias("first_id"), last["removed"].alias("removed"))
+        touching = (F.size(acc) > 0) & (x["start"] <= last["end"] + GAP)
+        more = F.greatest(F.lit(0), F.least(x["words"], x["upto"] - last["upto"]))
+        new = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), (last["words"] + more).alias("words"), last["cluster"].alias("cluster"), last["first_id"].alias("first_id"), last["removed"].alias("removed"), F.greatest(last["upto"], x["upto"]).alias("upto"))
         return F.when(touching, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(new))).otherwise(F.concat(acc, F.array(x)))
 
     kind = per.schema["units"].dataType.simpleString()
-    merged = per.withColumn("span", F.explode(F.aggregate("units", F.expr(f"cast(array() as {kind})"), step))).where(F.col("span.words") >= SPAN)
-    return merged.select(F.col("id").alias(doc_id), F.col("place").alias("text_hash"), "span.*")
+    merged = per.withColumn("span", F.explode(F.concat(*[F.aggregate(F.filter("units", own), F.expr(f"cast(array() as {kind})"), step) for own in (lambda x: x["removed"], lambda x: ~x["removed"])]))).where(F.col("span.words") >= SPAN)
+    return merged.select(F.col("id").alias(doc_id), F.col("place").alias("text_hash"), "span.*").drop("upto")
 
 
 def without(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -142,6 +142,20 @@ def test_repeated_passages(spark, odd):
     assert 1 - (1 - 0.8**size) ** bands >= 0.999
 
 
+def test_passages_without_punctuation(spark):
+    plain, cut = sentence(1, 60), ("é " + sentence(2, 22) + ". " + sentence(3, 35)).split()
+    reflowed = sentence(4, 60).split()
+    rows = [(1, sentence(10, 90) + " " + plain + " " + sentence(11, 90)), (2, "é " + sentence(12, 70) + " " + plain + " " + sentence(13, 120)),
+            (3, sentence(14, 9) + " " + " ".join(cut) + " " + sentence(15, 9) + ". " + sentence(16, 30)), (4, sentence(17, 15) + " " + " ".join(cut) + " " + sentence(18, 12) + "."),
+            (5, " ".join(reflowed)), (6, "\n".join(" ".join(reflowed[i : i + 7]) for i in range(0, 60, 7))), (7, sentence(19, 300))]
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.removed) for r in found} == {(1, False), (2, True), (3, False), (4, True), (5, False), (6, True)}
+    text, whole = dict(rows), {1: plain, 2: plain, 3: " ".join(cut), 4: " ".join(cut), 5: " ".join(reflowed), 6: " ".join(reflowed)}
+    for r in found:
+        own = " ".join(text[r.doc_id][r.start : r.end].split())
+        assert own in whole[r.doc_id] and len(own.split()) == r.words >= 20
+
+
 def test_toxicity(spark, odd):
     rows = [(i, sentence(i, 30) + (" vile" + "abcdefgh"[i % 8] + "scum" if i % 4 == 0 else "")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
