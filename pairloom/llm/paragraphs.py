@@ -1,11 +1,10 @@
 """Substring dedup: repeated paragraphs by MinHash banding, exact Jaccard and components.
 
 Units are a text's lines, and the sentences of lines that hold more than one (so a passage set into other text is seen by the
-sentences it brings), with ``LEAST`` words or more, and windows of ``WINDOW`` words of the whole text that need no line break or
+sentences it brings; those too short by themselves are taken by runs), with ``LEAST`` words or more, and windows of ``WINDOW`` words of the whole text that need no line break or
 punctuation: of every ``WINDOW`` that begin one after another, the one of the smallest hash. So a passage of
-2 * ``WINDOW`` - 1 words or more has a window in common with its copy, wherever it begins and ends. A unit's set is its distinct 5-word shingles. Lines are banded: ``tune``
-finds the bands and rows a band that give the wanted recall at the threshold with fewest hashes; sentences, being short, have
-one band that is the digest of the set, as an edit inside one brings it below the threshold anyway; windows match if their
+2 * ``WINDOW`` - 1 words or more has a window in common with its copy, wherever it begins and ends. A unit's set is its distinct 5-word shingles. Lines and sentences are banded: ``tune``
+finds the bands and rows a band that give the wanted recall at the threshold with fewest hashes; windows match if their
 words do. Units of one band value
 are chained by size into candidate groups, never paired up, and ``linking`` verifies each group by exact Jaccard. Units of
 one component form a cluster; its first occurrence (smallest id, then place) stays and all others are removals. Removals and
@@ -46,14 +45,23 @@ def tune(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
 
 
 def _units(text: str):
-    """(start, end, whether it is a line) of every line and of sentences inside lines."""
+    """(start, end) of every line, and inside lines of sentences and of runs of sentences under LEAST words."""
     for line in _LINE.finditer(text):
         a, b = line.span()
-        yield a, b, True
-        found = [m.span() for m in _SENTENCE.finditer(text, a, b)]
-        if len(found) > 1:
-            for x, y in found:
-                yield x, y, False
+        yield a, b
+        found, run = [m.span() for m in _SENTENCE.finditer(text, a, b)], None
+        if len(found) < 2:
+            continue
+        for x, y in found:
+            if len(text[x:y].encode().split(None, LEAST)) < LEAST:
+                run = (run[0] if run else x, y)
+                continue
+            if run:
+                yield run
+            run = None
+            yield x, y
+        if run and run != (found[0][0], found[-1][1]):  # not the whole line again
+            yield run
 
 
 class _Words:
@@ -99,13 +107,13 @@ class _Words:
 
 
 def _sets_of(texts: list[str], k: int, all_words: _Words):
-    """Every unit of some texts with LEAST words or more: (text number, start, end, line, words, set, number of its first word)."""
+    """Every unit of some texts with LEAST words or more: (text number, start, end, words, set, number of its first word)."""
     import pyarrow as pa
 
     places = [(i, *u) for i, t in enumerate(texts) for u in _units(t)]
     if not places:
         return []
-    found, first = S.words(*S.column_bytes(pa.array([texts[i][a:b] for i, a, b, _ in places], pa.large_string())))
+    found, first = S.words(*S.column_bytes(pa.array([texts[i][a:b] for i, a, b in places], pa.large_string())))
     count = np.diff(first)
     sets = S.shingles(found, first, k)
     text = np.array([p[0] for p in places])
@@ -149,12 +157,12 @@ def _scan(texts: DataFrame, k: int, bands: int, rows: int, percent: int, ranges:
             texts = batch.column("text").to_pylist()
             all_words = _Words(texts)
             units = _sets_of(texts, k, all_words)
-            names = [_class(S.digest(u[5])) for u in units]
+            names = [_class(S.digest(u[4])) for u in units]
             fresh = []
             for name, u in zip(names, units):
-                if u[3] and name not in seen:
+                if name not in seen:
                     seen.add(name)
-                    fresh.append((name, u[5]))
+                    fresh.append((name, u[4]))
             if fresh:
                 sizes = np.array([len(x) for _, x in fresh])
                 flat, begin = np.concatenate([x for _, x in fresh]), np.cumsum(sizes) - sizes
@@ -167,7 +175,7 @@ def _scan(texts: DataFrame, k: int, bands: int, rows: int, percent: int, ranges:
                 waiting += bands * len(fresh)
             m = len(units)
             columns = [pa.array([ids[u[0]] for u in units], kinds[0]), pa.array([hashes[u[0]] for u in units], kinds[1]),
-                       *[pa.array([u[i] for u in units], pa.int32()) for i in (1, 2, 4, 6)], pa.array(names, pa.int64()), pa.array([len(u[5]) for u in units], pa.int64())]
+                       *[pa.array([u[i] for u in units], pa.int32()) for i in (1, 2, 3, 5)], pa.array(names, pa.int64()), pa.array([len(u[4]) for u in units], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema.names)
             text, start, end, word, names = all_words.windows()
             if m := len(text):

@@ -156,6 +156,19 @@ def test_passages_without_punctuation(spark):
         assert own in whole[r.doc_id] and len(own.split()) == r.words >= 20
 
 
+def test_near_copied_and_short_sentences(spark):
+    def edited(words, at):
+        return " ".join([*words[:at], "other", *words[at + 1 :]])
+
+    last, middle = sentence(1, 30).split(), sentence(2, 55).split()
+    short = ". ".join(sentence(30 + i, 3) for i in range(10)) + "."
+    pairs = [(" ".join(last) + ".", edited(last, 29) + "."), (" ".join(middle) + ".", edited(middle, 27) + "."), (short, short)]
+    rows = [(2 * i + j, f"{sentence(50 + 2 * i + j, 40)}. {x} {sentence(70 + 2 * i + j, 40)}.") for i, two in enumerate(pairs) for j, x in enumerate(two)]
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, rows[r.doc_id][1][r.start : r.end], r.words, r.removed) for r in found}
+    assert got == {(2 * i + j, x, len(x.split()), bool(j)) for i, two in enumerate(pairs) for j, x in enumerate(two)}
+
+
 def test_toxicity(spark, odd):
     rows = [(i, sentence(i, 30) + (" vile" + "abcdefgh"[i % 8] + "scum" if i % 4 == 0 else "")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
