@@ -7,7 +7,9 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def test_the_rest_works_without_the_optional_subpackage(tmp_path):
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):  # the pipeline needs the subpackage and goes with it
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
     shutil.copytree(ROOT / "pairloom", tmp_path / "pairloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'bleu_smooth_by_lang' in q and set(o) <= set(q) and not [x for x in q if x.startswith('op') or x == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
