@@ -192,14 +192,23 @@ def _round(parts: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         kinds = [pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in _LINKED.split(", ")])
+
+        out = []
         for (group, _, split), rows in _blocks(batches, 3):
             rows = sorted({r[0]: r for r in rows}.values())
             names = [r[0] for r in rows]
             sets = [np.frombuffer(r[1], np.uint64) for r in rows]
             roots, leader, away, radius, unsure = link(sets, [r[2] for r in rows], percent)
-            out = [(group, names[i], names[roots[i]], names[leader[i]], away[i], radius[i], rows[i][1] if split and leader[i] == i else None, None) for i in range(len(rows))]
+            out += [(group, names[i], names[roots[i]], names[leader[i]], away[i], radius[i], rows[i][1] if split and leader[i] == i else None, None) for i in range(len(rows))]
             out += [(group, names[a], None, None, None, None, None, names[b]) for a, b in unsure]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in _LINKED.split(", ")])
+            if len(out) >= BLOCK:
+                yield table(out)
+                out = []
+        if out:
+            yield table(out)
 
     dealt = parts.select("grp", "block", (F.col("k") > 1).alias("split"), "item", "items", "radius").repartition("grp", "block")
     dealt = dealt.sortWithinPartitions("grp", "block")

@@ -1,36 +1,47 @@
 """Substring dedup: repeated paragraphs by MinHash banding, exact Jaccard and components.
 
-Units are a text's lines, and the sentences of lines that hold more than one (so a passage set into other text is seen by the
-sentences it brings; those too short by themselves are taken by runs), with ``LEAST`` words or more, and windows of ``WINDOW`` words of the whole text that need no line break or
-punctuation: of every ``WINDOW`` that begin one after another, the one of the smallest hash. So a passage of
-2 * ``WINDOW`` - 1 words or more has a window in common with its copy, wherever it begins and ends. A unit's set is its distinct 5-word shingles. Lines and sentences are banded: ``tune``
-finds the bands and rows a band that give the wanted recall at the threshold with fewest hashes; windows match if their
-words do. Units of one band value
-are chained by size into candidate groups, never paired up, and ``linking`` verifies each group by exact Jaccard. Units of
-one component form a cluster; its first occurrence (smallest id, then place) stays and all others are removals. Removals and
-kept occurrences of a text that follow each other are merged, each kind by itself; spans under ``SPAN`` words are no passages and left alone.
-
-Defined results: a null or empty text has no units; null ids sort last; rows alike in id and text count once; a passage
-repeated inside one text is found too. Whole texts are read; offsets are code points, ends exclusive.
+Units are a text's lines; the sentences of lines that hold more than one, and runs of those under ``least`` words, which show a
+passage set into other text; and windows of ``window`` words that need no line break or punctuation: of every ``window`` that
+begin one after another, the one of the smallest hash, so that a passage of 2 * ``window`` - 1 words or more has a window in
+common with its copy wherever it begins and ends. Lines, sentences and runs have ``least`` words or more; their set is their
+distinct ``k``-word shingles. They are banded: ``tune`` finds the bands and rows a band that give the wanted recall at the
+threshold with fewest hashes. Windows match if their words do.
+
+The texts are read twice rather than kept. The first pass sends on band values only: units that share one and may be of linking
+sizes are chained into candidate groups, never paired up. The second sends on where units are, by ranges of their names, and
+keeps those that occur again or are in a candidate group. ``linking`` verifies each group by exact Jaccard. Units of one
+component form a cluster; its first occurrence (smallest id, then text hash and place) stays and all others are removals.
+Removals of a text that overlap or follow each other word by word are merged, kept occurrences likewise; so a span never holds
+a word that isn't part of a repeated unit. Spans under ``span`` words are no passages.
+
+Both passes work in chunks of ``CHUNK`` units. What a chunk holds more than once of a unit is not gathered by its name, so a
+unit that very many texts share reaches the task of its name once a chunk.
+
+Defined results: a null or empty text has no units; null ids sort last; rows alike in id and text count once; a passage that
+only repeats inside one text is found if ``inside`` says so; an empty table gives no rows. Whole texts are read; offsets are code points, ends
+exclusive. Units and texts go by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import shingles as S
 from .common import OWN, Workspace, shuffle_partitions
 from .components import connected, forest
-from .jaccard import _among, _bins, _class, _slices, _starts
+from .jaccard import _among, _bins, _starts
 from .linking import blocked, link_groups
 
-LEAST, SPAN, GAP, FLUSH, WINDOW = 8, 20, 60, 500_000, 20
-_LINE, _SENTENCE = re.compile(r"[^\n]+"), re.compile(r"\S.*?(?:[.!?](?=\s)|$)")
+LEAST, SPAN, WINDOW, RECALL = 8, 25, 25, 0.99
+#: Units a chunk, bytes of text looked at together, units cut out of a text together.
+CHUNK, BYTES, CUTS = 100_000, 1 << 20, 4096
+_ENDS = np.zeros(256, bool)
+_ENDS[[33, 46, 63]] = True
+#: Keeps names of windows apart from those of sets.
+_WINDOWS, _ITEM = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
+_SPOT = np.dtype([("start", "<i4"), ("end", "<i4"), ("words", "<i4"), ("word", "<i4")])
 
 
 def tune(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -44,245 +55,376 @@ def tune(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
         limit *= 2
 
 
-def _units(text: str):
-    """(start, end) of every line, and inside lines of sentences and of runs of sentences under LEAST words."""
-    for line in _LINE.finditer(text):
-        a, b = line.span()
-        yield a, b
-        found, run = [m.span() for m in _SENTENCE.finditer(text, a, b)], None
-        if len(found) < 2:
-            continue
-        for x, y in found:
-            if len(text[x:y].encode().split(None, LEAST)) < LEAST:
-                run = (run[0] if run else x, y)
-                continue
-            if run:
-                yield run
-            run = None
-            yield x, y
-        if run and run != (found[0][0], found[-1][1]):  # not the whole line again
-            yield run
+def _runs(keep: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last places of the runs of kept places that no break (True: a run can't go on here) cuts."""
+    new = keep.copy()
+    new[1:] &= ~keep[:-1] | np.logical_or.reduce([b[1:] for b in breaks])
+    first = np.flatnonzero(new)
+    last = keep.copy()
+    last[:-1] &= ~keep[1:] | new[1:]
+    return first, np.flatnonzero(last) + 1
+
+
+class _Sets:
+    """The shingle sets of units that don't overlap: sizes, names, and minima under any hash."""
+
+    def __init__(self, every: np.ndarray, a: np.ndarray, b: np.ndarray, k: int):
+        size = b - a - k + 1
+        self.begin = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(a)), size)
+        self.flat = every[np.arange(len(owner)) - (self.begin - a)[owner]]
+        bits = np.uint64(max(1, len(a).bit_length()))
+        one = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (self.flat >> bits)  # sorts every unit's shingles at once
+        one.sort()
+        again = np.flatnonzero(one[1:] == one[:-1]) + 1
+        self.n = size - np.bincount(owner[again], minlength=len(a))
+        short = S.mix((one << bits) >> np.uint64(24) ^ _ITEM)  # 40 bits whatever the number of units
+        short[again] = 0
+        self.names = S.mix(np.add.reduceat(short, self.begin) + self.n.astype(np.uint64) * _ITEM) if len(a) else S._EMPTY
+
+    def keys(self, factors: np.ndarray):
+        """A value a band and unit."""
+        for band, own in enumerate(factors):
+            key = np.full(len(self.n), band + 1, np.uint64)
+            for f in own:
+                key = S.mix(key * np.uint64(31) + np.minimum.reduceat(self.flat * f, self.begin))
+            yield key
 
 
 class _Words:
-    """The words of some texts: hashes, their texts and places (code points from the start of all, a text's being in base)."""
+    """The words of some texts and the units they make up."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, column, least: int, k: int):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        data, offsets = S.column_bytes(pa.array([t + "\n" for t in texts], pa.large_string()))
-        self.hashes, self.first = S.words(data, offsets)
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        data, offsets = S.column_bytes(pc.binary_join_element_wise(column, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())))
+        self.hashes, _ = S.words(data, offsets[[0, -1]])
         edge = np.flatnonzero(np.diff(~S._SPACE[data], prepend=False))
-        place = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-        self.start, self.end, self.base = place[edge[0::2]], place[edge[1::2]], place[offsets]
-        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
-
-    def windows(self):
-        """Arrays by window chosen: text number, start, end, number of its first word, class."""
-        n, w = len(self.hashes) - WINDOW + 1, WINDOW
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.first = np.searchsorted(self.starts, offsets)
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.data, self.offsets, self.least, self.k = data, offsets, least, k
+        m = max(len(self.hashes) - k + 1, 0)
+        self.every = np.zeros(m, np.uint64)
+        for j in range(k):
+            self.every += self.hashes[j : m + j] * S._PLACE[j]
+        self.every = S.mix(self.every)
+
+    def lines_and_sentences(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """First and past-the-last words of the lines, and of the sentences and runs of short ones inside lines."""
+        none = (np.empty(0, np.int64),) * 2
+        if not len(self.starts):
+            return [none, none]
+        line = np.searchsorted(np.flatnonzero(self.data == 10), self.starts)
+        new_line = _starts(line)
+        a = np.flatnonzero(new_line)
+        b = np.append(a[1:], len(line))
+        ended = new_line.copy()
+        ended[1:] |= _ENDS[self.data[self.ends[:-1] - 1]]
+        s = np.flatnonzero(ended)
+        e = np.append(s[1:], len(line))
+        per = np.diff(np.append(np.searchsorted(s, a), len(s)))
+        several = np.repeat(per > 1, per)
+        opens = new_line[s]
+        long = e - s >= self.least
+        first, last = _runs(several & ~long, opens)
+        whole = opens[first] & np.append(opens, True)[last]  # the line again
+        run_a, run_b = s[first[~whole]], e[last[~whole] - 1]
+        sa, sb = np.concatenate([s[several & long], run_a]), np.concatenate([e[several & long], run_b])
+        order = np.argsort(sa)
+        keep = lambda x, y: (x[y - x >= self.least], y[y - x >= self.least])
+        return [keep(a, b), keep(sa[order], sb[order])]
+
+    def windows(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and names of the windows chosen."""
+        n = len(self.hashes) - w + 1
         whole = np.flatnonzero(self.text[2 * w - 2 :] == self.text[: max(n - w + 1, 0)])
         if not len(whole):
-            return [np.empty(0, np.int64)] * 5
-        keys = np.zeros(n, np.uint64)
+            return np.empty(0, np.int64), S._EMPTY
+        keys, power = np.zeros(n, np.uint64), np.uint64(1)
         for j in range(w):
-            keys += self.hashes[j : n + j] * S._PLACE[j]
-        keys = S.mix(keys)
+            keys += self.hashes[j : n + j] * power
+            power = np.uint64(int(power) * 0x9E3779B97F4A7C15 % (1 << 64))
+        keys = S.mix(keys ^ _WINDOWS)
         least = np.lib.stride_tricks.sliding_window_view(keys, w).argmin(1)
         chosen = np.zeros(n, bool)
         chosen[whole + least[whole]] = True
         at = np.flatnonzero(chosen)
         # Of equal windows that overlap, as in a text of one word, one stays.
-        by = np.lexsort((at, keys[at], self.text[at]))
-        by = at[by]
+        by = at[np.lexsort((at, keys[at], self.text[at]))]
         if ((keys[by[1:]] == keys[by[:-1]]) & (by[1:] - by[:-1] < w)).any():
             last = kept = None
-            for i, (x, key) in enumerate(zip(by.tolist(), keys[by].tolist())):
+            for x, key in zip(by.tolist(), keys[by].tolist()):
                 if last is not None and key == last and 0 <= x - kept < w:
                     chosen[x] = False
                 else:
                     last, kept = key, x
             at = np.flatnonzero(chosen)
-        text = self.text[at]
-        return text, self.start[at] - self.base[text], self.end[at + w - 1] - self.base[text], at - self.first[text], keys[at].view(np.int64)
-
-
-def _sets_of(texts: list[str], k: int, all_words: _Words):
-    """Every unit of some texts with LEAST words or more: (text number, start, end, words, set, number of its first word)."""
-    import pyarrow as pa
-
-    places = [(i, *u) for i, t in enumerate(texts) for u in _units(t)]
-    if not places:
-        return []
-    found, first = S.words(*S.column_bytes(pa.array([texts[i][a:b] for i, a, b in places], pa.large_string())))
-    count = np.diff(first)
-    sets = S.shingles(found, first, k)
-    text = np.array([p[0] for p in places])
-    begin = np.searchsorted(all_words.start, all_words.base[text] + np.array([p[1] for p in places])) - all_words.first[text]
-    return [(*p, int(n), x, int(b)) for p, n, x, b in zip(places, count, sets, begin) if n >= LEAST]
-
-
-def _scan(texts: DataFrame, k: int, bands: int, rows: int, percent: int, ranges: int) -> DataFrame:
-    """Occurrences of units, and blobs of band postings by range; each row is one or the other."""
-    schema = T.StructType([T.StructField(c, texts.schema[c].dataType) for c in ("id", "place")])
-    for c, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("word", T.IntegerType()), ("class", T.LongType()), ("n", T.LongType()), ("range", T.IntegerType()), ("keys", T.BinaryType()), ("classes", T.BinaryType()), ("sizes", T.BinaryType())):
-        schema.add(c, t)
-    factors = np.random.default_rng(5).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return at, keys[at]
+
+    def spots(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text numbers, and places in code points and words, of the units from word a to before word b."""
+        if not hasattr(self, "_points"):
+            points = np.append(0, np.cumsum((self.data & 0xC0) != 0x80))
+            self._points = points[self.starts], points[self.ends], points[self.offsets]
+        start, end, base = self._points
+        text = self.text[a]
+        out = np.empty(len(a), _SPOT)
+        out["start"], out["end"], out["words"], out["word"] = start[a] - base[text], end[b - 1] - base[text], b - a, a - self.first[text]
+        return text, out
+
+
+def _slices(batches, column: str):
+    """Parts of batches with about BYTES of text, or one text."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _banded(texts: DataFrame, k: int, least: int, bands: int, rows: int, percent: int, ranges: int) -> DataFrame:
+    """Blobs of band values, units' names and size bins by range; and of chained units (names only) where keys is null."""
+    factors = np.random.default_rng(5).integers(1, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    borders = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
 
     def run(batches):
         import pyarrow as pa
 
-        kinds, parts, waiting, seen = None, [], 0, set()
+        parts, waiting = [], 0
 
         def flush():
-            keys, classes, n = (np.concatenate(x) for x in zip(*parts))
-            to = (S.mix(keys) % np.uint64(ranges)).astype(np.int64)
-            order = np.lexsort((n, keys, to))
-            keys, classes, n, to = keys[order], classes[order], n[order], to[order]
+            keys, names, bins = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((bins, keys))
+            keys, names, bins = keys[order], names[order], bins[order]
             # Of a band value's units of one size bin that meet here one is sent on, chained to the rest.
-            first = _starts(keys, _bins(n, percent))
+            first = _starts(keys, bins)
             at = np.flatnonzero(~first)
-            chain = np.array(forest(zip(classes[at - 1].tolist(), classes[at].tolist())), np.int64).reshape(-1, 2)
-            keys, classes, n, to = keys[first], classes[first], n[first], to[first]
-            cuts = np.searchsorted(to, np.arange(ranges + 1))
-            blobs = [(r, keys[a:b].tobytes(), classes[a:b].tobytes(), n[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            at = at[names[at - 1] != names[at]]
+            chain = np.array(forest(zip(names[at - 1].tolist(), names[at].tolist())), np.int64).reshape(-1, 2)
+            keys, names, bins = keys[first], names[first], bins[first]
+            cuts = np.searchsorted(keys, borders).tolist() + [len(keys)]
+            blobs = [(r, keys[a:b].tobytes(), names[a:b].tobytes(), bins[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             if len(chain):
                 blobs.append((int(chain[0, 0]) % ranges, None, chain.tobytes(), None))
-            m = len(blobs)
-            none = [pa.nulls(m, kinds[0]), pa.nulls(m, kinds[1]), *[pa.nulls(m, pa.int32())] * 4, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
-            return pa.RecordBatch.from_arrays([*none, pa.array([b[0] for b in blobs], pa.int32()), *[pa.array([b[i] for b in blobs], pa.binary()) for i in (1, 2, 3)]], schema.names)
-
-        for batch in _slices(batches):
-            kinds = [batch.schema.field("id").type, batch.schema.field("place").type]
-            ids, hashes = batch.column("id").to_pylist(), batch.column("place").to_pylist()
-            texts = batch.column("text").to_pylist()
-            all_words = _Words(texts)
-            units = _sets_of(texts, k, all_words)
-            names = [_class(S.digest(u[4])) for u in units]
-            fresh = []
-            for name, u in zip(names, units):
-                if name not in seen:
-                    seen.add(name)
-                    fresh.append((name, u[4]))
-            if fresh:
-                sizes = np.array([len(x) for _, x in fresh])
-                flat, begin = np.concatenate([x for _, x in fresh]), np.cumsum(sizes) - sizes
-                own = np.array([c for c, _ in fresh], np.int64)
-                for band in range(bands):
-                    key = np.full(len(fresh), band + 1, np.uint64)
-                    for f in factors[band * rows : (band + 1) * rows]:
-                        key = S.mix(key * np.uint64(31) + np.minimum.reduceat(flat * f, begin))
-                    parts.append((key, own, sizes.astype(np.int64)))
-                waiting += bands * len(fresh)
-            m = len(units)
-            columns = [pa.array([ids[u[0]] for u in units], kinds[0]), pa.array([hashes[u[0]] for u in units], kinds[1]),
-                       *[pa.array([u[i] for u in units], pa.int32()) for i in (1, 2, 3, 5)], pa.array(names, pa.int64()), pa.array([len(u[4]) for u in units], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema.names)
-            text, start, end, word, names = all_words.windows()
-            if m := len(text):
-                of = [batch.column(c).take(pa.array(text)) for c in ("id", "place")]
-                places = [pa.array(c, pa.int32()) for c in (start, end, np.full(m, WINDOW), word)]
-                yield pa.RecordBatch.from_arrays([*of, *places, pa.array(names), pa.array(np.full(m, WINDOW)), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema.names)
-            if waiting >= FLUSH:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["range", "keys", "names", "bins"])
+
+        for part in _slices(batches, "text"):
+            words = _Words(part.column("text"), least, k)
+            for a, b in words.lines_and_sentences():
+                if not len(a):
+                    continue
+                sets = _Sets(words.every, a, b, k)
+                bins = _bins(sets.n, percent).astype(np.int8)
+                parts += [(key, sets.names.view(np.int64), bins) for key in sets.keys(factors)]
+                waiting += len(a)
+            if waiting >= CHUNK:
                 yield flush()
                 parts, waiting = [], 0
-                seen.clear()
         if parts:
             yield flush()
 
-    return texts.select("id", "place", "text").mapInArrow(run, schema)
+    return texts.select("text").mapInArrow(run, "range int, keys binary, names binary, bins binary")
 
 
-def _edges(blobs: DataFrame, percent: int) -> DataFrame:
+def _edges(blobs: DataFrame) -> DataFrame:
     """Chains (a, b) of the units that share a band value and may be of linking sizes."""
     def run(batches):
         import pyarrow as pa
 
         def table(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         def flush(rows):
-            keys, classes, n = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
-            order = np.lexsort((classes, n, keys))
-            keys, classes, n = keys[order], classes[order], n[order]
-            bins = _bins(n, percent)
-            at = np.flatnonzero((keys[1:] == keys[:-1]) & (bins[1:] - bins[:-1] <= 1) & (classes[1:] != classes[:-1]))
-            return table(forest(zip(classes[at].tolist(), classes[at + 1].tolist())))
+            keys, names, bins = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int8)))
+            order = np.lexsort((bins, keys))
+            keys, names, bins = keys[order], names[order], bins[order]
+            at = np.flatnonzero((keys[1:] == keys[:-1]) & (bins[1:] - bins[:-1] <= 1) & (names[1:] != names[:-1]))
+            return table(np.array(forest(zip(names[at].tolist(), names[at + 1].tolist())), np.int64).reshape(-1, 2))
 
         last, rows = None, []
         for batch in batches:
-            for to, keys, classes, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            for to, keys, names, bins in zip(*(c.to_pylist() for c in batch.columns)):
                 if keys is None:
-                    yield table(np.frombuffer(classes, np.int64).reshape(-1, 2).tolist())
+                    yield table(np.frombuffer(names, np.int64).reshape(-1, 2))
                     continue
                 if to != last and rows:
                     yield flush(rows)
                     rows = []
                 last = to
-                rows.append((keys, classes, sizes))
+                rows.append((keys, names, bins))
         if rows:
             yield flush(rows)
 
-    dealt = blobs.select("range", "keys", "classes", "sizes").repartition("range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "a long, b long")
+    return blobs.repartition("range").sortWithinPartitions("range").mapInArrow(run, "a long, b long")
 
 
-def _members(found: DataFrame, k: int) -> DataFrame:
-    """grp, block, k, item and items of units at (start, end) of texts."""
+def _located(texts: DataFrame, k: int, least: int, window: int, ranges: int) -> DataFrame:
+    """Blobs of units (names, texts' keys, places) by range of names. more: by unit whether its chunk holds it again; null
+    for units whose name's first one in the chunk is in another blob."""
     def run(batches):
         import pyarrow as pa
 
-        for batch in _slices(batches):
-            cut = [t[a:b] for t, a, b in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist(), batch.column("end").to_pylist())]
-            sets = S.text_shingles(pa.array(cut, pa.large_string()), k)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("grp", "block", "k", "item")], pa.array([x.tobytes() for x in sets], pa.binary())], ["grp", "block", "k", "item", "items"])
+        parts, waiting, flushed = [], 0, 0
+
+        def flush():
+            names, keys, spots = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(names, kind="stable")
+            names, keys, spots = names[order], keys[order], spots[order]
+            first = _starts(names)
+            more = np.append(~first[1:], False)[first]
+            known = flushed % ranges, names[~first].tobytes(), keys[~first].tobytes(), spots[~first].tobytes(), None
+            names, keys, spots = names[first], keys[first], spots[first]
+            to = names % ranges
+            order = np.argsort(to, kind="stable")
+            names, keys, spots, more, to = names[order], keys[order], spots[order], more[order], to[order]
+            cuts = np.searchsorted(to, np.arange(ranges + 1))
+            blobs = [(r, *(x[a:b].tobytes() for x in (names, keys, spots, more))) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            if known[1]:
+                blobs.append(known)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.int32(), *[pa.binary()] * 4))], ["range", "names", "keys", "spots", "more"])
+
+        for part in _slices(batches, "text"):
+            words, own = _Words(part.column("text"), least, k), part.column("key").to_numpy(zero_copy_only=False)
+            flushed = flushed or int(own[0]) if len(own) else flushed  # where a task begins to deal out what needs no range
+            found = [(a, b, _Sets(words.every, a, b, k).names) for a, b in words.lines_and_sentences() if len(a)]
+            at, names = words.windows(window)
+            for a, b, names in [*found, (at, at + window, names)]:
+                if len(a):
+                    text, spots = words.spots(a, b)
+                    parts.append((names.view(np.int64), own[text], spots))
+                    waiting += len(a)
+            if waiting >= CHUNK:
+                yield flush()
+                parts, waiting, flushed = [], 0, flushed + 1
+        if parts:
+            yield flush()
 
-    return found.select("text", "start", "end", "grp", "block", "k", "item").mapInArrow(run, "grp long, block long, k long, item binary, items binary")
+    return texts.select("key", "text").mapInArrow(run, "range int, names binary, keys binary, spots binary, more binary")
 
 
-def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80, recall: float = 0.999) -> DataFrame:
+def _again(blobs: DataFrame, groups: DataFrame, ranges: int) -> DataFrame:
+    """(class, key, start, end, words, word) of the units that occur again or are in a candidate group."""
+    def run(batches):
+        import pyarrow as pa
+
+        def table(names, keys, spots):
+            columns = [pa.array(names), pa.array(keys), *(pa.array(np.ascontiguousarray(spots[c])) for c in _SPOT.names)]
+            return pa.RecordBatch.from_arrays(columns, ["class", "key", *_SPOT.names])
+
+        def flush(rows, nodes):
+            names, keys, spots, more = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*rows), (np.int64, np.int64, _SPOT, bool)))
+            order = np.argsort(names, kind="stable")
+            names = names[order]
+            first = np.flatnonzero(_starts(names))
+            size = np.diff(np.append(first, len(names)))
+            keep = (size > 1) | np.logical_or.reduceat(more[order], first)
+            if nodes:
+                keep |= np.isin(names[first], np.concatenate(nodes))
+            keep = np.repeat(keep, size)
+            return table(names[keep], keys[order[keep]], spots[order[keep]])
+
+        last, rows, nodes = None, [], []
+        for batch in batches:
+            for to, node, *blob in zip(batch.column("range").to_pylist(), batch.column("nodes").to_pylist(), *(batch.column(c).to_pylist() for c in ("names", "keys", "spots", "more"))):
+                if to != last:
+                    if rows:
+                        yield flush(rows, nodes)
+                    last, rows, nodes = to, [], []
+                if node is not None:
+                    nodes.append(np.array(node, np.int64))
+                elif blob[3] is None:
+                    yield table(*(np.frombuffer(x, t) for x, t in zip(blob, (np.int64, np.int64, _SPOT))))
+                else:
+                    rows.append(blob)
+        if rows:
+            yield flush(rows, nodes)
+
+    named = groups.select(F.pmod("node", F.lit(ranges)).cast("int").alias("range"), "node").groupBy("range", F.pmod(F.xxhash64("node"), F.lit(16)).alias("part"))
+    named = named.agg(F.collect_list("node").alias("nodes")).drop("part")
+    both = blobs.unionByName(named, allowMissingColumns=True).repartition("range").sortWithinPartitions("range")
+    kind = "class long, key long, " + ", ".join(f"{c} int" for c in _SPOT.names)
+    return both.mapInArrow(run, kind)
+
+
+def _members(found: DataFrame, k: int) -> DataFrame:
+    """grp, block, k, item and items of the ``units`` of texts."""
+    kinds = {"grp": "long", "block": "long", "k": "long", "item": "binary"}
+
+    def run(batches):
+        import pyarrow as pa
+
+        def table(parts, cut):
+            columns = [pa.chunked_array([p.field(c) for p in parts]).combine_chunks() for c in kinds]
+            sets = S.text_shingles(pa.array(cut, pa.large_string()), k)
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sets], pa.binary())], [*kinds, "items"])
+
+        parts, cut = [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, units = batch.column("text")[i].as_py(), batch.column("units")[i].values
+                for at in range(0, len(units), CUTS):
+                    part = units.slice(at, CUTS)
+                    parts.append(part)
+                    cut += [text[a:b] for a, b in zip(part.field("start").to_pylist(), part.field("end").to_pylist())]
+                    if len(cut) >= CUTS:
+                        yield table(parts, cut)
+                        parts, cut = [], []
+        if cut:
+            yield table(parts, cut)
+
+    return found.select("text", "units").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", items binary")
+
+
+def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80, recall: float = RECALL, least: int = LEAST, span: int = SPAN, window: int = WINDOW, inside: bool = False) -> DataFrame:
     """One row a repeated passage of a text: the id under its name, text_hash, start, end, words, cluster (of its first unit),
-    first_id (where that cluster's kept occurrence is) and removed (false where all its units are kept ones)."""
+    first_id (where that cluster's kept occurrence is) and removed (false where all its units are kept ones). inside: also those
+    that only repeat inside one text."""
     spark = docs.sparkSession
-    space = Workspace(spark, "paragraphs")
+    space, ranges, least = Workspace(spark, "paragraphs"), 4 * shuffle_partitions(spark), max(least, k)
     bands, rows = tune(percent / 100, recall)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
-    scanned = space.save(_scan(texts, k, bands, rows, percent, 4 * shuffle_partitions(spark)))
-    seen = scanned.where("range is null").select("id", "place", "start", "end", "words", "word", "class", "n")
-    groups = connected(space, _edges(scanned.where("range is not null"), percent))
-    # Most units occur once and are like no other: only the rest is kept, and what was scanned is not read again.
-    again = seen.groupBy("class").agg(F.count(F.lit(1)).alias("times")).join(groups, F.col("class") == F.col("node"), "left").where("times > 1 or node is not null")
-    seen = space.save(seen.join(again.select(F.col("class").alias("cls")), F.col("class") == F.col("cls"), "left_semi"))
-    space.drop(scanned)
-    at = F.struct(F.col("id").isNull().alias("no"), "id", "place", "start", "end")
-    classes = space.save(seen.groupBy("class").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("at"), F.max("n").alias("n"))
-                         .join(groups, F.col("class") == F.col("node"), "left"))
+    texts = texts.withColumn("key", F.xxhash64("id", "place"))
+    groups = connected(space, _edges(_banded(texts, k, least, bands, rows, percent, ranges)))
+    found = _again(_located(texts, k, least, window, ranges), groups, ranges)
+    named = texts.select(F.col("key").alias("own"), "id", "place").dropDuplicates(["own"])
+    seen = found.join(named, F.col("key") == F.col("own")).drop("own").dropDuplicates(["key", "start", "end", "class"])
+    seen = space.save(seen)
+    at = F.struct(F.col("id").isNull().alias("no"), "id", "place", "start", "end", "key")
+    classes = seen.groupBy("class").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("at"), F.max("words").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    repeated = F.col("times") > 1 if inside else F.col("low") != F.col("high")
+    classes = space.save(classes.join(groups, F.col("class") == F.col("node"), "left").where(repeated | F.col("node").isNotNull()))
     item = F.unhex(F.lpad(F.hex("class"), 16, "0"))
-    members = classes.where("node is not null").select(item.alias("item"), "class", "n", F.col("root").alias("grp"), F.col("at.id").alias("at_id"), F.col("at.place").alias("at_place"), "at.start", "at.end")
+    members = classes.where("node is not null").select(item.alias("item"), "n", F.col("root").alias("grp"), F.col("at.key").alias("at_key"), F.col("at.place").alias("at_place"), "at.start", "at.end")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("m"))
     members = space.save(blocked(members, sizes))
-    found = _among(texts, members).join(members, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("place") == F.col("at_place")))
+    # A text comes once for all of its units, of which it has no more than words.
+    wanted = members.groupBy("at_key", "at_place").agg(F.collect_list(F.struct("start", "end", "grp", "block", "k", "item")).alias("units"))
+    once = _among(texts, members).select("key", "text")
     split = not members.where("k > 1").isEmpty()
-    linked = space.save(link_groups(space, _members(found, k), percent, split))
-    own = classes.select("class", "times", "at", item.alias("own"))
+    linked = space.save(link_groups(space, _members(once.join(wanted, F.col("key") == F.col("at_key")), k), percent, split))
+    own = classes.select("class", "times", "at", "low", "high", item.alias("own"))
     own = own.join(linked, F.col("own") == F.col("item"), "left").withColumn("cluster", F.coalesce("root", "own"))
-    whole = own.groupBy("cluster").agg(F.sum("times").alias("times"), F.min("at").alias("first")).where("times > 1").withColumnRenamed("cluster", "c")
-    label = own.join(whole, F.col("cluster") == F.col("c")).select(F.col("class").alias("cls"), F.lower(F.hex("cluster")).alias("cluster"), F.struct("first.id", "first.place", "first.start").alias("first"))
-    hits = seen.join(space.save(label), F.col("class") == F.col("cls")).dropDuplicates(["id", "place", "start", "end", "class"])
-    here = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.place") == F.col("place")) & (F.col("first.start") == F.col("start"))
-    unit = F.struct("start", "end", "words", "cluster", F.col("first.id").alias("first_id"), (~here).alias("removed"), (F.col("word") + F.col("words")).alias("upto"))
-    # All units of one text: as many as it has lines and sentences.
-    per = hits.groupBy("id", "place").agg(F.sort_array(F.collect_list(unit)).alias("units"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        touching = (F.size(acc) > 0) & (x["start"] <= last["end"] + GAP)
-        more = F.greatest(F.lit(0), F.least(x["words"], x["upto"] - last["upto"]))
-        new = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), (last["words"] + more).alias("words"), last["cluster"].alias("cluster"), last["first_id"].alias("first_id"), last["removed"].alias("removed"), F.greatest(last["upto"], x["upto"]).alias("upto"))
-        return F.when(touching, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(new))).otherwise(F.concat(acc, F.array(x)))
-
-    kind = per.schema["units"].dataType.simpleString()
-    merged = per.withColumn("span", F.explode(F.concat(*[F.aggregate(F.filter("units", own), F.expr(f"cast(array() as {kind})"), step) for own in (lambda x: x["removed"], lambda x: ~x["removed"])]))).where(F.col("span.words") >= SPAN)
-    return merged.select(F.col("id").alias(doc_id), F.col("place").alias("text_hash"), "span.*").drop("upto")
+    whole = own.groupBy("cluster").agg(F.sum("times").alias("times"), F.min("at").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = whole.where(repeated).select(F.col("cluster").alias("c"), "first")
+    label = own.join(whole, F.col("cluster") == F.col("c")).select(F.col("class").alias("cls"), F.lower(F.hex("cluster")).alias("cluster"), F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"))
+    hits = seen.join(space.save(label), F.col("class") == F.col("cls"))
+    removed = (F.col("first_key") != F.col("key")) | (F.col("first_start") != F.col("start"))
+    hits = hits.select("id", "place", "key", removed.alias("removed"), "start", "end", "word", (F.col("word") + F.col("words")).alias("upto"), "cluster", "first_id")
+    text_order = Window.partitionBy("key", "removed").orderBy("word", "upto", "cluster")
+    before = F.max("upto").over(text_order.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("new", F.coalesce(F.col("word") > before, F.lit(True)).cast("int"))
+    hits = hits.withColumn("span", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("word", "upto", "cluster", "first_id")).alias("first")
+    merged = hits.groupBy("key", "removed", "span").agg(F.first("id").alias("id"), F.first("place").alias("place"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("upto") - F.min("word")).alias("words"), first)
+    merged = merged.where(F.col("words") >= span)
+    return merged.select(F.col("id").alias(doc_id), F.col("place").alias("text_hash"), "start", "end", "words", F.col("first.cluster").alias("cluster"), F.col("first.first_id").alias("first_id"), "removed")
 
 
 def without(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
