@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Edges never meet on the driver: it sees two numbers a round. Once at most ``CHUNK`` edges are left one task settles them. Before
-that each round first contracts the edges of every partition to a
+Edges never meet on the driver: it sees two numbers a round. Each round first contracts the edges of every partition to a
 spanning forest in bounded chunks, so that a node with very many edges sends on at most one edge a chunk, then links every
-node's neighbours to its smallest one with partial aggregation and joins that Spark can split when a key is hot.
+node's neighbours to its smallest one with partial aggregation and joins that Spark can split when a key is hot. The rounds
+end when one changes nothing.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, shuffle_partitions
 
-CHUNK = 1_000_000
+#: Edges contracted together.
+CHUNK = 200_000
 
 
 class UnionFind(dict):
@@ -86,19 +87,15 @@ def _star(edges: DataFrame) -> DataFrame:
 
 def connected(space: Workspace, edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge in edges (a, b), the root being the component's smallest node."""
-    now = space.save(contract(edges.where(F.col("a") != F.col("b"))).distinct())
-    mark = None
+    # Edges are far smaller than what they come from: an eighth of its partitions hold them.
+    parts = max(1, shuffle_partitions(space.spark) // 8)
+    now, mark = space.save(contract(edges.where(F.col("a") != F.col("b"))).distinct().coalesce(parts)), None
     while True:
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if got[0] <= CHUNK:  # what one bounded chunk holds is settled at once
-            done = space.save(contract(now.coalesce(1)))
-            space.drop(now)
-            now = done
+        got = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if got == mark:
             break
-        if tuple(got) == mark:
-            break
-        mark = tuple(got)
-        new = space.save(_star(contract(now)))
+        mark = got
+        new = space.save(_star(contract(now)).coalesce(parts))
         space.drop(now)
         now = new
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

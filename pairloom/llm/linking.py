@@ -10,8 +10,8 @@ n searches of a few leaders and not n * n.
 Groups over ``BLOCK`` sets or ``BLOCK_ITEMS`` elements are split into blocks by hash. Each block is linked on its own;
 then the blocks' leaders, with the radius of what they stand for, form the next round's groups, until each group is one
 block. Where a round merges few leaders, another one would not help: then every two half blocks of a group meet in a task of
-their own, which ends it. Pairs of leaders that are too far to link but near enough for their members to do so are settled last, by searching
-the one's members for each of the other's until one links.
+their own, which ends it. Pairs of leaders that are too far to link but near enough for their members to do so are settled last:
+of each one's members those that may reach the other's are dealt to a grid of half blocks, and searched for each other.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, shuffle_partitions
 from .components import UnionFind, connected
 
 BLOCK, BLOCK_ITEMS = 2048, 2_000_000
@@ -182,58 +182,85 @@ def _blocks(batches, keys: int):
         yield last, rows
 
 
-_LINKED = "grp long, item binary, root binary, leader binary, away double, radius double, items binary, other binary"
+_LINKED = "grp long, split boolean, item binary, root binary, leader binary, away double, radius double, items binary, other binary"
 
 
-def _round(parts: DataFrame, percent: int) -> DataFrame:
+def _round(parts: DataFrame, percent: int, last: bool = False) -> DataFrame:
     """parts: grp, block, k (the group's number of blocks), item, items, radius. Rows with ``other`` are unsure pairs of
-    leaders; ``items`` is returned for leaders of groups of more than one block."""
+    leaders, ``away`` being their distance; ``items`` is returned for groups of more than one block."""
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 3, pa.float64(), pa.float64(), pa.binary(), pa.binary()]
 
         def table(out):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in _LINKED.split(", ")])
 
-        out = []
+        out, held = [], 0
         for (group, _, split), rows in _blocks(batches, 3):
             rows = sorted({r[0]: r for r in rows}.values())
             names = [r[0] for r in rows]
             sets = [np.frombuffer(r[1], np.uint64) for r in rows]
             roots, leader, away, radius, unsure = link(sets, [r[2] for r in rows], percent)
-            out += [(group, names[i], names[roots[i]], names[leader[i]], away[i], radius[i], rows[i][1] if split and leader[i] == i else None, None) for i in range(len(rows))]
-            out += [(group, names[a], None, None, None, None, None, names[b]) for a, b in unsure]
-            if len(out) >= BLOCK:
+            out += [(group, split, names[i], names[roots[i]], names[leader[i]], away[i], radius[i], rows[i][1] if split else None, None) for i in range(len(rows))]
+            out += [(group, split, names[a], None, None, distance(sets[a], sets[b]), None, None, names[b]) for a, b in unsure]
+            held += sum(len(r[1]) for r in rows) if split else 0
+            if len(out) >= BLOCK or held >= 8 * BLOCK_ITEMS:
                 yield table(out)
-                out = []
+                out, held = [], 0
         if out:
             yield table(out)
 
-    dealt = parts.select("grp", "block", (F.col("k") > 1).alias("split"), "item", "items", "radius").repartition("grp", "block")
+    dealt = parts.select("grp", "block", ((F.col("k") > 1) & F.lit(not last)).alias("split"), "item", "items", "radius")
+    # By number: a few sets can be much work, which partitions joined by their size would put into one task.
+    dealt = dealt.repartition(shuffle_partitions(parts.sparkSession), "grp", "block")
     dealt = dealt.sortWithinPartitions("grp", "block")
     return dealt.mapInArrow(run, _LINKED)
 
 
-def _settle(pairs: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b between the sets of each unsure pair of leaders. pairs: left, right (names), side, item, items."""
+def _settle(cells: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b between the sets of the two sides of each cell that link, one for each of side 1 and cell. cells: left, right,
+    i, j (what names a cell), side, item, items."""
     def run(batches):
         import pyarrow as pa
 
-        for _, rows in _blocks(batches, 2):
+        for _, rows in _blocks(batches, 4):
             one, two = ([(n, np.frombuffer(x, np.uint64)) for s, n, x in rows if s == k] for k in (0, 1))
-            index = Index()
+            index, out = Index(), []
             for _, x in one:
                 index.add(x.tolist())
             for name, x in two:
                 if hit := index.search(x.tolist(), percent / 100):
-                    yield pa.RecordBatch.from_arrays([pa.array([one[hit[0][0]][0]], pa.binary()), pa.array([name], pa.binary())], ["a", "b"])
-                    break
+                    out.append((one[hit[0][0]][0], name))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
 
-    dealt = pairs.select("left", "right", "side", "item", "items").repartition("left", "right").sortWithinPartitions("left", "right")
+    cell = ("left", "right", "i", "j")
+    dealt = cells.select(*cell, "side", "item", "items").repartition(shuffle_partitions(cells.sparkSession), *cell).sortWithinPartitions(*cell)
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def _cells(doubt: DataFrame, under: DataFrame, block: int) -> DataFrame:
+    """What _settle takes, without items. doubt: left, right, apart (their distance), reach (the link distance); under: leader,
+    item, away (at least its distance). An item can only link to one of the other side if their distances to the leaders and
+    the link distance add up to the leaders' distance; both sides are dealt to half blocks, every two of which meet."""
+    widest = under.groupBy("leader").agg(F.max("away").alias("widest"))
+    names = ("left", "right")
+    sides = []
+    for k, (own, other) in enumerate((names, names[::-1])):
+        far = widest.select(F.col("leader").alias("o"), "widest")
+        side = doubt.join(far, F.col(other) == F.col("o")).join(under, F.col(own) == F.col("leader"))
+        sides.append(side.where(F.col("away") + F.col("widest") + F.col("reach") + _SLACK >= F.col("apart")).select(*names, F.lit(k).alias("side"), "item"))
+    both = sides[0].unionByName(sides[1])
+    n = both.groupBy(*names).agg(*[F.ceil(F.count(F.when(F.col("side") == k, 1)) / (block / 2)).alias(f"k{k}") for k in (0, 1)]).where("k0 > 0 and k1 > 0")
+    n = n.select(F.col("left").alias("l"), F.col("right").alias("r"), "k0", "k1")
+    both = both.join(n, (F.col("left") == F.col("l")) & (F.col("right") == F.col("r")))
+    one = F.col("side") == 0
+    both = both.withColumn("own", F.pmod(F.xxhash64("item"), F.when(one, F.col("k0")).otherwise(F.col("k1"))))
+    both = both.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.when(one, F.col("k1")).otherwise(F.col("k0")) - 1)))
+    return both.select(*names, F.when(one, F.col("own")).otherwise(F.col("to")).alias("i"), F.when(one, F.col("to")).otherwise(F.col("own")).alias("j"), "side", "item")
+
+
 def blocked(members: DataFrame, sizes: DataFrame, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """members (grp, item, ...) with their block and their group's number of blocks k. sizes: grp, n (sets), m (elements)."""
     sizes = sizes.select(F.col("grp").alias("g"), F.ceil(F.greatest(F.col("n") / float(block), F.col("m") / float(block_items), F.lit(1.0))).alias("k"))
@@ -251,47 +278,42 @@ def paired(members: DataFrame, sizes: DataFrame, block: int = BLOCK, block_items
 
 def link_groups(space: Workspace, sets: DataFrame, percent: int, split: bool, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(item, root) for sets (grp, block, k as from blocked(), item binary, items binary of sorted uint64): root is the same for
-    linked items. split: whether any group has more than one block. A set in more than one group is linked in each."""
+    linked items. split: whether any group has more than one block. A set is in one group."""
     first = space.save(_round(sets.withColumn("radius", F.lit(0.0)), percent))
-    kept = first.where("other is null")
+    done = first.where("other is null and not split").select("item", "root")
     if not split:
-        return kept.select("item", "root")
-    edges, unsure, members = [kept.select(F.col("item").alias("a"), F.col("root").alias("b"))], [first.where("other is not null").select("item", "other")], [kept.select("item", "leader", "away")]
-    now, last = kept, None  # only leaders of split groups have their items
+        return done
+    first = first.where("split")  # from here on only groups of more than one block count, of which it has the sets
+    edge = lambda x: x.where("other is null").select(F.col("item").alias("a"), F.col("root").alias("b"))
+    pairs = lambda x: x.where("other is not null").select(F.col("item").alias("left"), F.col("other").alias("right"), F.col("away").alias("apart"))
+    edges, unsure = [edge(first)], [pairs(first)]
+    under = first.where("other is null").select("leader", "item", "away")  # what a leader of the last round stands for, itself too
+    now, last = first, None
     while True:
-        tops = now.where("items is not null").select("grp", "item", "items", "radius")
+        tops = now.where("items is not null and item = leader").select("grp", "item", "items", "radius")
         sums = tops.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items") / 8).alias("m"))
         top = sums.agg(F.sum("n"), F.sum(F.ceil(F.greatest(F.col("n") / float(block), F.col("m") / float(block_items)))), F.count(F.lit(1))).first()
         alone = top[0] is None or top[1] == top[2]
         stuck = not alone and last is not None and top[0] > MERGED * last
         last = top[0]
-        step = space.save(_round((paired if stuck else blocked)(tops, sums, block, block_items), percent))
-        now = step.where("other is null")
-        edges.append(now.select(F.col("item").alias("a"), F.col("root").alias("b")))
-        members.append(now.where("item != leader").select("item", "leader", "away"))
-        unsure.append(step.where("other is not null").select("item", "other"))
+        now = space.save(_round((paired if stuck else blocked)(tops, sums, block, block_items), percent, last=stuck))
+        edges.append(edge(now))
+        unsure.append(pairs(now))
+        # Members of a leader of the round before are now also those of its own leader.
+        over = now.where("other is null and item != leader").select(F.col("leader").alias("upper"), F.col("item").alias("lower"), F.col("away").alias("more"))
+        lower = under.join(over, F.col("leader") == F.col("lower")).select(F.col("upper").alias("leader"), "item", (F.col("away") + F.col("more")).alias("away"))
+        under = space.save(under.unionByName(lower).groupBy("leader", "item").agg(F.min("away").alias("away")))
         if alone or stuck:
             break
     union = lambda x: x[0] if len(x) == 1 else x[0].unionByName(union(x[1:]))
-    roots = connected(space, union(edges)).select("node", "root")
-    doubt = union(unsure).distinct()
+    roots = connected(space, union(edges))
+    doubt = union(unsure).groupBy("left", "right").agg(F.min("apart").alias("apart"))
+    for side in ("left", "right"):
+        doubt = doubt.join(roots.select(F.col("node").alias(side), F.col("root").alias(side + "_root")), side, "left")
+    doubt = space.save(doubt.where(F.coalesce("left_root", "left") != F.coalesce("right_root", "right")).select("left", "right", "apart", F.lit(1 - percent / 100).alias("reach")))
     if not doubt.isEmpty():
-        # What a leader stands for: its members of every round, found downwards.
-        tree = union(members).distinct()
-        under = {"item": "left", "other": "right"}
-        pairs = doubt.select(F.col("item").alias("left"), F.col("other").alias("right"))
-        sides = []
-        for k, (_, side) in enumerate(under.items()):
-            reach = pairs.select("left", "right", F.col(side).alias("at"))
-            got = reach
-            for _ in range(len(members)):
-                down = got.join(tree, F.col("at") == F.col("leader")).select("left", "right", F.col("item").alias("at"))
-                got = got.unionByName(down).distinct()
-            sides.append(got.withColumn("side", F.lit(k)))
-        both = sides[0].unionByName(sides[1])
-        texts = sets.select("item", "items").dropDuplicates(["item"])
-        both = both.join(texts, F.col("at") == F.col("item")).select("left", "right", "side", "item", "items")
-        edges.append(_settle(both, percent))
-        roots = connected(space, union(edges)).select("node", "root")
-    lone = kept.select("item").distinct().join(roots, F.col("item") == F.col("node"), "left_anti").select("item", F.col("item").alias("root"))
-    return roots.select(F.col("node").alias("item"), "root").unionByName(lone)
+        items = first.where("items is not null").select("item", "items").dropDuplicates(["item"])
+        cells = _cells(doubt, under, block).withColumnRenamed("item", "at").join(items, F.col("at") == F.col("item")).drop("at")
+        roots = connected(space, union(edges).unionByName(_settle(cells, percent)))
+    lone = first.where("other is null").select("item").distinct().join(roots, F.col("item") == F.col("node"), "left_anti").select("item", F.col("item").alias("root"))
+    return done.unionByName(roots.select(F.col("node").alias("item"), "root")).unionByName(lone)

@@ -5,7 +5,8 @@ passage set into other text; and windows of ``window`` words that need no line b
 begin one after another, the one of the smallest hash, so that a passage of 2 * ``window`` - 1 words or more has a window in
 common with its copy wherever it begins and ends. Lines, sentences and runs have ``least`` words or more; their set is their
 distinct ``k``-word shingles. They are banded: ``tune`` finds the bands and rows a band that give the wanted recall at the
-threshold with fewest hashes. Windows match if their words do.
+threshold with fewest hashes. Sentences and runs too short to link to an equally long one with another word (13 words at 0.8)
+match if their sets are equal, and windows if their words are.
 
 The texts are read twice rather than kept. The first pass sends on band values only: units that share one and may be of linking
 sizes are chained into candidate groups, never paired up. The second sends on where units are, by ranges of their names, and
@@ -41,7 +42,7 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
 #: Keeps names of windows apart from those of sets.
 _WINDOWS, _ITEM = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
-_SPOT = np.dtype([("start", "<i4"), ("end", "<i4"), ("words", "<i4"), ("word", "<i4")])
+_SPOT = ("start", "end", "words", "word")
 
 
 def tune(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -112,8 +113,9 @@ class _Words:
             self.every += self.hashes[j : m + j] * S._PLACE[j]
         self.every = S.mix(self.every)
 
-    def lines_and_sentences(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """First and past-the-last words of the lines, and of the sentences and runs of short ones inside lines."""
+    def lines_and_sentences(self, other: float = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """First and past-the-last words of the lines, and of the sentences and runs of short ones inside lines; of the latter
+        those with at least ``other`` words."""
         none = (np.empty(0, np.int64),) * 2
         if not len(self.starts):
             return [none, none]
@@ -134,8 +136,8 @@ class _Words:
         run_a, run_b = s[first[~whole]], e[last[~whole] - 1]
         sa, sb = np.concatenate([s[several & long], run_a]), np.concatenate([e[several & long], run_b])
         order = np.argsort(sa)
-        keep = lambda x, y: (x[y - x >= self.least], y[y - x >= self.least])
-        return [keep(a, b), keep(sa[order], sb[order])]
+        keep = lambda x, y, least: (x[y - x >= least], y[y - x >= least])
+        return [keep(a, b, self.least), keep(sa[order], sb[order], max(self.least, other))]
 
     def windows(self, w: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and names of the windows chosen."""
@@ -171,9 +173,7 @@ class _Words:
             self._points = points[self.starts], points[self.ends], points[self.offsets]
         start, end, base = self._points
         text = self.text[a]
-        out = np.empty(len(a), _SPOT)
-        out["start"], out["end"], out["words"], out["word"] = start[a] - base[text], end[b - 1] - base[text], b - a, a - self.first[text]
-        return text, out
+        return text, np.stack([start[a] - base[text], end[b - 1] - base[text], b - a, a - self.first[text]], 1).astype(np.int32)
 
 
 def _slices(batches, column: str):
@@ -210,6 +210,7 @@ def _banded(texts: DataFrame, k: int, least: int, bands: int, rows: int, percent
             chain = np.array(forest(zip(names[at - 1].tolist(), names[at].tolist())), np.int64).reshape(-1, 2)
             keys, names, bins = keys[first], names[first], bins[first]
             cuts = np.searchsorted(keys, borders).tolist() + [len(keys)]
+            keys = (keys * np.uint64(ranges)).view(np.uint8).reshape(-1, 8)[:, 3:]  # a range's keys differ in these 40 bits
             blobs = [(r, keys[a:b].tobytes(), names[a:b].tobytes(), bins[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             if len(chain):
                 blobs.append((int(chain[0, 0]) % ranges, None, chain.tobytes(), None))
@@ -217,7 +218,7 @@ def _banded(texts: DataFrame, k: int, least: int, bands: int, rows: int, percent
 
         for part in _slices(batches, "text"):
             words = _Words(part.column("text"), least, k)
-            for a, b in words.lines_and_sentences():
+            for a, b in words.lines_and_sentences(other=(200 if percent == 100 else (100 + percent) / (100 - percent)) + k - 1):
                 if not len(a):
                     continue
                 sets = _Sets(words.every, a, b, k)
@@ -242,7 +243,10 @@ def _edges(blobs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, i], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         def flush(rows):
-            keys, names, bins = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int8)))
+            short, names, bins = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*rows), (np.uint8, np.int64, np.int8)))
+            keys = np.zeros((len(names), 8), np.uint8)
+            keys[:, :5] = short.reshape(-1, 5)
+            keys = keys.view(np.uint64).ravel()
             order = np.lexsort((bins, keys))
             keys, names, bins = keys[order], names[order], bins[order]
             at = np.flatnonzero((keys[1:] == keys[:-1]) & (bins[1:] - bins[:-1] <= 1) & (names[1:] != names[:-1]))
@@ -265,6 +269,18 @@ def _edges(blobs: DataFrame) -> DataFrame:
     return blobs.repartition("range").sortWithinPartitions("range").mapInArrow(run, "a long, b long")
 
 
+def _packed(spots: np.ndarray) -> bytes:
+    import pyarrow as pa
+
+    return pa.compress(np.ascontiguousarray(spots.T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(blob, 4 * n * len(_SPOT), "zstd", asbytes=True), np.int32).reshape(len(_SPOT), n)
+
+
 def _located(texts: DataFrame, k: int, least: int, window: int, ranges: int) -> DataFrame:
     """Blobs of units (names, texts' keys, places) by range of names. more: by unit whether its chunk holds it again; null
     for units whose name's first one in the chunk is in another blob."""
@@ -279,13 +295,13 @@ def _located(texts: DataFrame, k: int, least: int, window: int, ranges: int) ->
             names, keys, spots = names[order], keys[order], spots[order]
             first = _starts(names)
             more = np.append(~first[1:], False)[first]
-            known = flushed % ranges, names[~first].tobytes(), keys[~first].tobytes(), spots[~first].tobytes(), None
+            known = flushed % ranges, names[~first].tobytes(), keys[~first].tobytes(), _packed(spots[~first]), None
             names, keys, spots = names[first], keys[first], spots[first]
             to = names % ranges
             order = np.argsort(to, kind="stable")
             names, keys, spots, more, to = names[order], keys[order], spots[order], more[order], to[order]
             cuts = np.searchsorted(to, np.arange(ranges + 1))
-            blobs = [(r, *(x[a:b].tobytes() for x in (names, keys, spots, more))) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            blobs = [(r, names[a:b].tobytes(), keys[a:b].tobytes(), _packed(spots[a:b]), more[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             if known[1]:
                 blobs.append(known)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.int32(), *[pa.binary()] * 4))], ["range", "names", "keys", "spots", "more"])
@@ -315,11 +331,11 @@ def _again(blobs: DataFrame, groups: DataFrame, ranges: int) -> DataFrame:
         import pyarrow as pa
 
         def table(names, keys, spots):
-            columns = [pa.array(names), pa.array(keys), *(pa.array(np.ascontiguousarray(spots[c])) for c in _SPOT.names)]
-            return pa.RecordBatch.from_arrays(columns, ["class", "key", *_SPOT.names])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (names, keys, *spots)], ["class", "key", *_SPOT])
 
         def flush(rows, nodes):
-            names, keys, spots, more = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*rows), (np.int64, np.int64, _SPOT, bool)))
+            names, keys, more = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, np.int64), (1, np.int64), (3, bool)))
+            spots = np.hstack([_unpacked(r[2], len(r[0]) // 8) for r in rows])
             order = np.argsort(names, kind="stable")
             names = names[order]
             first = np.flatnonzero(_starts(names))
@@ -328,7 +344,7 @@ def _again(blobs: DataFrame, groups: DataFrame, ranges: int) -> DataFrame:
             if nodes:
                 keep |= np.isin(names[first], np.concatenate(nodes))
             keep = np.repeat(keep, size)
-            return table(names[keep], keys[order[keep]], spots[order[keep]])
+            return table(names[keep], keys[order[keep]], spots[:, order[keep]])
 
         last, rows, nodes = None, [], []
         for batch in batches:
@@ -340,7 +356,7 @@ def _again(blobs: DataFrame, groups: DataFrame, ranges: int) -> DataFrame:
                 if node is not None:
                     nodes.append(np.array(node, np.int64))
                 elif blob[3] is None:
-                    yield table(*(np.frombuffer(x, t) for x, t in zip(blob, (np.int64, np.int64, _SPOT))))
+                    yield table(np.frombuffer(blob[0], np.int64), np.frombuffer(blob[1], np.int64), _unpacked(blob[2], len(blob[0]) // 8))
                 else:
                     rows.append(blob)
         if rows:
@@ -349,7 +365,7 @@ def _again(blobs: DataFrame, groups: DataFrame, ranges: int) -> DataFrame:
     named = groups.select(F.pmod("node", F.lit(ranges)).cast("int").alias("range"), "node").groupBy("range", F.pmod(F.xxhash64("node"), F.lit(16)).alias("part"))
     named = named.agg(F.collect_list("node").alias("nodes")).drop("part")
     both = blobs.unionByName(named, allowMissingColumns=True).repartition("range").sortWithinPartitions("range")
-    kind = "class long, key long, " + ", ".join(f"{c} int" for c in _SPOT.names)
+    kind = "class long, key long, " + ", ".join(f"{c} int" for c in _SPOT)
     return both.mapInArrow(run, kind)
 
 
@@ -394,37 +410,38 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     groups = connected(space, _edges(_banded(texts, k, least, bands, rows, percent, ranges)))
     found = _again(_located(texts, k, least, window, ranges), groups, ranges)
     named = texts.select(F.col("key").alias("own"), "id", "place").dropDuplicates(["own"])
-    seen = found.join(named, F.col("key") == F.col("own")).drop("own").dropDuplicates(["key", "start", "end", "class"])
-    seen = space.save(seen)
-    at = F.struct(F.col("id").isNull().alias("no"), "id", "place", "start", "end", "key")
-    classes = seen.groupBy("class").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("at"), F.max("words").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    seen = space.save(found.join(named.select("own", "id"), F.col("key") == F.col("own")).drop("own").dropDuplicates(["key", "start", "end", "class"]))
+    at = F.struct(F.col("id").isNull().alias("no"), "id", "key", "start", "end")
+    classes = seen.groupBy("class").agg(F.min(at).alias("at"), F.max("words").alias("n"), F.count(F.lit(1)).alias("times"), F.min("key").alias("low"), F.max("key").alias("high"))
     repeated = F.col("times") > 1 if inside else F.col("low") != F.col("high")
     classes = space.save(classes.join(groups, F.col("class") == F.col("node"), "left").where(repeated | F.col("node").isNotNull()))
-    item = F.unhex(F.lpad(F.hex("class"), 16, "0"))
-    members = classes.where("node is not null").select(item.alias("item"), "n", F.col("root").alias("grp"), F.col("at.key").alias("at_key"), F.col("at.place").alias("at_place"), "at.start", "at.end")
+    grouped = classes.where("node is not null").withColumn("item", F.unhex(F.lpad(F.hex("class"), 16, "0")))
+    members = grouped.select("item", "n", F.col("root").alias("grp"), F.col("at.key").alias("at_place"), "at.start", "at.end")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("m"))
     members = space.save(blocked(members, sizes))
     # A text comes once for all of its units, of which it has no more than words.
-    wanted = members.groupBy("at_key", "at_place").agg(F.collect_list(F.struct("start", "end", "grp", "block", "k", "item")).alias("units"))
-    once = _among(texts, members).select("key", "text")
+    wanted = members.groupBy("at_place").agg(F.collect_list(F.struct("start", "end", "grp", "block", "k", "item")).alias("units"))
+    once = _among(texts.select(F.col("key").alias("place"), "text"), members).join(wanted, F.col("place") == F.col("at_place"))
     split = not members.where("k > 1").isEmpty()
-    linked = space.save(link_groups(space, _members(once.join(wanted, F.col("key") == F.col("at_key")), k), percent, split))
-    own = classes.select("class", "times", "at", "low", "high", item.alias("own"))
-    own = own.join(linked, F.col("own") == F.col("item"), "left").withColumn("cluster", F.coalesce("root", "own"))
-    whole = own.groupBy("cluster").agg(F.sum("times").alias("times"), F.min("at").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
-    whole = whole.where(repeated).select(F.col("cluster").alias("c"), "first")
-    label = own.join(whole, F.col("cluster") == F.col("c")).select(F.col("class").alias("cls"), F.lower(F.hex("cluster")).alias("cluster"), F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"))
-    hits = seen.join(space.save(label), F.col("class") == F.col("cls"))
+    linked = space.save(link_groups(space, _members(once, k), percent, split))
+    own = grouped.select("class", "times", "at", "low", "high", F.col("item").alias("own")).join(linked, F.col("own") == F.col("item"))
+    whole = own.groupBy("root").agg(F.sum("times").alias("times"), F.min("at").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = whole.where(repeated).select(F.col("root").alias("r"), "first")
+    first = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "key", "start")]
+    label = own.join(whole, F.col("root") == F.col("r")).select(F.col("class").alias("cls"), F.conv(F.hex("root"), 16, -10).cast("long").alias("cluster"), *first)
+    lone = classes.where("node is null").select(F.col("class").alias("cls"), F.col("class").alias("cluster"), F.col("at").alias("first"))
+    label = space.save(label.unionByName(lone.select("cls", "cluster", *first)))
     removed = (F.col("first_key") != F.col("key")) | (F.col("first_start") != F.col("start"))
-    hits = hits.select("id", "place", "key", removed.alias("removed"), "start", "end", "word", (F.col("word") + F.col("words")).alias("upto"), "cluster", "first_id")
+    hits = seen.select("class", "key", "start", "end", "words", "word").join(label, F.col("class") == F.col("cls"))
+    hits = hits.select("key", removed.alias("removed"), "start", "end", "word", (F.col("word") + F.col("words")).alias("upto"), "cluster", "first_id")
     text_order = Window.partitionBy("key", "removed").orderBy("word", "upto", "cluster")
     before = F.max("upto").over(text_order.rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.withColumn("new", F.coalesce(F.col("word") > before, F.lit(True)).cast("int"))
     hits = hits.withColumn("span", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("word", "upto", "cluster", "first_id")).alias("first")
-    merged = hits.groupBy("key", "removed", "span").agg(F.first("id").alias("id"), F.first("place").alias("place"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("upto") - F.min("word")).alias("words"), first)
-    merged = merged.where(F.col("words") >= span)
-    return merged.select(F.col("id").alias(doc_id), F.col("place").alias("text_hash"), "start", "end", "words", F.col("first.cluster").alias("cluster"), F.col("first.first_id").alias("first_id"), "removed")
+    merged = hits.groupBy("key", "removed", "span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("upto") - F.min("word")).alias("words"), F.min(F.struct("word", "upto", "cluster", "first_id")).alias("first"))
+    merged = merged.where(F.col("words") >= span).join(named, F.col("key") == F.col("own"))
+    return merged.select(F.col("id").alias(doc_id), F.col("place").alias("text_hash"), "start", "end", "words", F.lower(F.hex("first.cluster")).alias("cluster"), F.col("first.first_id").alias("first_id"), "removed")
 
 
 def without(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
