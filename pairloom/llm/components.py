@@ -2,19 +2,21 @@
 
 Edges never meet on the driver: it sees two numbers a round. Each round first contracts the edges of every partition to a
 spanning forest in bounded chunks, so that a node with very many edges sends on at most one edge a chunk, then links every
-node's neighbours to its smallest one with partial aggregation and joins that Spark can split when a key is hot. The rounds
-end when one changes nothing.
+node's neighbours to its smallest one with partial aggregation and joins that Spark can split when a key is hot. What has
+become a star by itself is done and takes no part in the next round; the rounds end when nothing is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_partitions
+from .common import Workspace, returning, shuffle_partitions
 
 #: Edges contracted together.
-CHUNK = 200_000
+CHUNK = 100_000
 
 
 class UnionFind(dict):
@@ -70,7 +72,7 @@ def contract(edges: DataFrame) -> DataFrame:
         if kind is not None:
             yield flush()
 
-    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
+    return edges.select("a", "b").mapInArrow(returning(run), edges.select("a", "b").schema)
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -85,18 +87,30 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.where(F.col("a") != F.col("b")).distinct()
 
 
+def _marked(edges: DataFrame) -> DataFrame:
+    """edges with ``open``: false for those of a whole star, whose leaves have no other edge, as a leaf or a root, and whose root
+    is no leaf; such a star is a component."""
+    roots = edges.select(F.col("b").alias("own_root")).distinct()
+    several = (F.count(F.lit(1)).over(Window.partitionBy("a")) > 1) | F.col("own_root").isNotNull()
+    leaves = edges.join(roots, F.col("a") == F.col("own_root"), "left").withColumn("several", several)
+    ends = leaves.select(F.col("b").alias("node"), "several").unionByName(edges.select(F.col("a").alias("node"), F.lit(True).alias("several")))
+    ends = ends.groupBy("node").agg(F.max("several").alias("open"))
+    return edges.join(ends, F.col("b") == F.col("node")).select("a", "b", "open")
+
+
 def connected(space: Workspace, edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge in edges (a, b), the root being the component's smallest node."""
     # Edges are far smaller than what they come from: an eighth of its partitions hold them.
     parts = max(1, shuffle_partitions(space.spark) // 8)
-    now, mark = space.save(contract(edges.where(F.col("a") != F.col("b"))).distinct().coalesce(parts)), None
+    now, stars = space.save(contract(edges.where(F.col("a") != F.col("b"))).distinct().coalesce(parts)), []
     while True:
-        got = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if got == mark:
-            break
-        mark = got
-        new = space.save(_star(contract(now)).coalesce(parts))
+        marked = space.save(_marked(now).coalesce(parts))
         space.drop(now)
-        now = new
+        stars.append(marked.where(~F.col("open")).select("a", "b"))
+        left = marked.where("open").select("a", "b")
+        if left.isEmpty():
+            break
+        now = space.save(_star(contract(left)).coalesce(parts))
+    now = reduce(DataFrame.unionByName, stars)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

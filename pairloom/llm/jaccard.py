@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles as S
-from .common import OWN, Workspace, shuffle_partitions
+from .common import OWN, Workspace, returning, shuffle_partitions
 from .components import connected, forest
 from .linking import blocked, link_groups
 
@@ -76,7 +76,7 @@ def _signed(texts: DataFrame, k: int) -> DataFrame:
                 [pa.nulls(m, kinds[0]), pa.nulls(m, kinds[1]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
                  pa.array(range(m), pa.int32()), pa.array(blobs, pa.binary())], schema.names)
 
-    return texts.select("id", "place", "text").mapInArrow(run, schema)
+    return texts.select("id", "place", "text").mapInArrow(returning(run), schema)
 
 
 def _levels(signed: DataFrame) -> np.ndarray:
@@ -97,7 +97,7 @@ def _levels(signed: DataFrame) -> np.ndarray:
         for cells, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([cells], pa.int32()), pa.array([(4 * np.log2(x + 1.0)).astype(np.uint8).tobytes()], pa.binary())], ["cells", "q"])
 
-    rows = signed.where("cells is not null").select("cells", "counts").repartition("cells").mapInArrow(run, "cells int, q binary").collect()
+    rows = signed.where("cells is not null").select("cells", "counts").repartition("cells").mapInArrow(returning(run), "cells int, q binary").collect()
     q = np.zeros((1 << RANGE_BITS, width), np.uint8)
     for row in rows:
         q[row.cells] = np.frombuffer(row.q, np.uint8)
@@ -180,7 +180,7 @@ def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> Da
         if parts:
             yield from flush()
 
-    return texts.select("text").mapInArrow(run, "range int, keys binary, classes binary, n binary, lasts binary, edges binary")
+    return texts.select("text").mapInArrow(returning(run), "range int, keys binary, classes binary, n binary, lasts binary, edges binary")
 
 
 def _pairs(keys, classes, n, lasts, percent) -> np.ndarray:
@@ -253,7 +253,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    found = postings.repartition("range").sortWithinPartitions("range").mapInArrow(run, "a long, b long, shared long, need long")
+    found = postings.repartition("range").sortWithinPartitions("range").mapInArrow(returning(run), "a long, b long, shared long, need long")
     enough = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
     return enough.select("a", "b")
 
@@ -273,7 +273,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "block", "k", "item", "items"])
 
-    return texts.mapInArrow(run, kind)
+    return texts.mapInArrow(returning(run), kind)
 
 
 def _among(texts: DataFrame, members: DataFrame) -> DataFrame:

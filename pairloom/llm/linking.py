@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_partitions
+from .common import Workspace, returning, shuffle_partitions
 from .components import UnionFind, connected
 
-BLOCK, BLOCK_ITEMS = 2048, 2_000_000
+BLOCK, BLOCK_ITEMS = 2048, 500_000
 #: A round that leaves more than this share of the leaders is the last but one.
 MERGED = 0.9
 #: How many leaders are tried directly before a search.
@@ -215,7 +215,7 @@ def _round(parts: DataFrame, percent: int, last: bool = False) -> DataFrame:
     # By number: a few sets can be much work, which partitions joined by their size would put into one task.
     dealt = dealt.repartition(shuffle_partitions(parts.sparkSession), "grp", "block")
     dealt = dealt.sortWithinPartitions("grp", "block")
-    return dealt.mapInArrow(run, _LINKED)
+    return dealt.mapInArrow(returning(run), _LINKED)
 
 
 def _settle(cells: DataFrame, percent: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _settle(cells: DataFrame, percent: int) -> DataFrame:
 
     cell = ("left", "right", "i", "j")
     dealt = cells.select(*cell, "side", "item", "items").repartition(shuffle_partitions(cells.sparkSession), *cell).sortWithinPartitions(*cell)
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(returning(run), "a binary, b binary")
 
 
 def _cells(doubt: DataFrame, under: DataFrame, block: int) -> DataFrame:

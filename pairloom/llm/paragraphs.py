@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import OWN, Workspace, shuffle_partitions
+from .common import OWN, Workspace, returning, shuffle_partitions
 from .components import connected, forest
 from .jaccard import _among, _bins, _starts
 from .linking import blocked, link_groups
 
 LEAST, SPAN, WINDOW, RECALL = 8, 25, 25, 0.99
 #: Units a chunk, bytes of text looked at together, units cut out of a text together.
-CHUNK, BYTES, CUTS = 100_000, 1 << 20, 4096
+CHUNK, BYTES, CUTS = 40_000, 1 << 18, 2048
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
 #: Keeps names of windows apart from those of sets.
@@ -231,7 +231,7 @@ def _banded(texts: DataFrame, k: int, least: int, bands: int, rows: int, percent
         if parts:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "range int, keys binary, names binary, bins binary")
+    return texts.select("text").mapInArrow(returning(run), "range int, keys binary, names binary, bins binary")
 
 
 def _edges(blobs: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def _edges(blobs: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return blobs.repartition("range").sortWithinPartitions("range").mapInArrow(run, "a long, b long")
+    return blobs.repartition("range").sortWithinPartitions("range").mapInArrow(returning(run), "a long, b long")
 
 
 def _packed(spots: np.ndarray) -> bytes:
@@ -322,7 +322,7 @@ def _located(texts: DataFrame, k: int, least: int, window: int, ranges: int) ->
         if parts:
             yield flush()
 
-    return texts.select("key", "text").mapInArrow(run, "range int, names binary, keys binary, spots binary, more binary")
+    return texts.select("key", "text").mapInArrow(returning(run), "range int, names binary, keys binary, spots binary, more binary")
 
 
 def _again(blobs: DataFrame, groups: DataFrame, ranges: int) -> DataFrame:
@@ -366,7 +366,7 @@ def _again(blobs: DataFrame, groups: DataFrame, ranges: int) -> DataFrame:
     named = named.agg(F.collect_list("node").alias("nodes")).drop("part")
     both = blobs.unionByName(named, allowMissingColumns=True).repartition("range").sortWithinPartitions("range")
     kind = "class long, key long, " + ", ".join(f"{c} int" for c in _SPOT)
-    return both.mapInArrow(run, kind)
+    return both.mapInArrow(returning(run), kind)
 
 
 def _members(found: DataFrame, k: int) -> DataFrame:
@@ -395,7 +395,7 @@ def _members(found: DataFrame, k: int) -> DataFrame:
         if cut:
             yield table(parts, cut)
 
-    return found.select("text", "units").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", items binary")
+    return found.select("text", "units").mapInArrow(returning(run), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", items binary")
 
 
 def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80, recall: float = RECALL, least: int = LEAST, span: int = SPAN, window: int = WINDOW, inside: bool = False) -> DataFrame:
