@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Edges never meet on the driver: it sees two numbers a round. Each round first contracts the edges of every partition to a
-spanning forest in bounded chunks, so that a node with very many edges sends on at most one edge a chunk, then links every
-node's neighbours to its smallest one with partial aggregation and joins that Spark can split when a key is hot. What has
+Edges never meet on the driver. First those of every partition are contracted to a spanning forest in bounded chunks, so that a
+node with very many edges sends on at most one edge a chunk. Each round then links every node's neighbours to its smallest one
+with partial aggregation and joins that Spark can split when a key is hot. What has
 become a star by itself is done and takes no part in the next round; the rounds end when nothing is left.
 """
 
@@ -75,27 +75,27 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(returning(run), edges.select("a", "b").schema)
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, parts: int) -> DataFrame:
     """One large-star and one small-star step over edges with a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
     large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    large = large.where(F.col("a") != F.col("b")).distinct()
+    large = large.where(F.col("a") != F.col("b")).coalesce(parts).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
     small = large.join(least, F.col("a") == F.col("u"))
     small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-    return small.where(F.col("a") != F.col("b")).distinct()
+    return small.where(F.col("a") != F.col("b")).coalesce(parts).distinct().coalesce(parts)
 
 
-def _marked(edges: DataFrame) -> DataFrame:
+def _marked(edges: DataFrame, parts: int) -> DataFrame:
     """edges with ``open``: false for those of a whole star, whose leaves have no other edge, as a leaf or a root, and whose root
     is no leaf; such a star is a component."""
     roots = edges.select(F.col("b").alias("own_root")).distinct()
     several = (F.count(F.lit(1)).over(Window.partitionBy("a")) > 1) | F.col("own_root").isNotNull()
-    leaves = edges.join(roots, F.col("a") == F.col("own_root"), "left").withColumn("several", several)
+    leaves = edges.join(roots, F.col("a") == F.col("own_root"), "left").withColumn("several", several).coalesce(parts)
     ends = leaves.select(F.col("b").alias("node"), "several").unionByName(edges.select(F.col("a").alias("node"), F.lit(True).alias("several")))
     ends = ends.groupBy("node").agg(F.max("several").alias("open"))
-    return edges.join(ends, F.col("b") == F.col("node")).select("a", "b", "open")
+    return edges.join(ends, F.col("b") == F.col("node")).select("a", "b", "open").coalesce(parts)
 
 
 def connected(space: Workspace, edges: DataFrame) -> DataFrame:
@@ -104,13 +104,13 @@ def connected(space: Workspace, edges: DataFrame) -> DataFrame:
     parts = max(1, shuffle_partitions(space.spark) // 8)
     now, stars = space.save(contract(edges.where(F.col("a") != F.col("b"))).distinct().coalesce(parts)), []
     while True:
-        marked = space.save(_marked(now).coalesce(parts))
+        marked = space.save(_marked(now, parts))
         space.drop(now)
         stars.append(marked.where(~F.col("open")).select("a", "b"))
         left = marked.where("open").select("a", "b")
         if left.isEmpty():
             break
-        now = space.save(_star(contract(left)).coalesce(parts))
+        now = space.save(_star(left, parts))
     now = reduce(DataFrame.unionByName, stars)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

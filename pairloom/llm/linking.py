@@ -9,8 +9,8 @@ n searches of a few leaders and not n * n.
 
 Groups over ``BLOCK`` sets or ``BLOCK_ITEMS`` elements are split into blocks by hash. Each block is linked on its own;
 then the blocks' leaders, with the radius of what they stand for, form the next round's groups, until each group is one
-block. Where a round merges few leaders, another one would not help: then every two half blocks of a group meet in a task of
-their own, which ends it. Pairs of leaders that are too far to link but near enough for their members to do so are settled last:
+block. Where a round leaves most of a group's sets leaders, another one would not help: then every two half blocks of the
+group's sets meet in a task of their own, which ends it. Pairs of leaders that are too far to link but near enough for their members to do so are settled last:
 of each one's members those that may reach the other's are dealt to a grid of half blocks, and searched for each other.
 """
 
@@ -29,8 +29,8 @@ from .common import Workspace, returning, shuffle_partitions
 from .components import UnionFind, connected
 
 BLOCK, BLOCK_ITEMS = 2048, 500_000
-#: A round that leaves more than this share of the leaders is the last but one.
-MERGED = 0.9
+#: A group of which a round leaves more than this share as leaders gets no other round.
+MERGED = 0.5
 #: How many leaders are tried directly before a search.
 TRIED = 16
 #: Weight of a probe against a merge step, for choosing how many lists count as long.
@@ -185,7 +185,7 @@ def _blocks(batches, keys: int):
 _LINKED = "grp long, split boolean, item binary, root binary, leader binary, away double, radius double, items binary, other binary"
 
 
-def _round(parts: DataFrame, percent: int, last: bool = False) -> DataFrame:
+def _round(parts: DataFrame, percent: int) -> DataFrame:
     """parts: grp, block, k (the group's number of blocks), item, items, radius. Rows with ``other`` are unsure pairs of
     leaders, ``away`` being their distance; ``items`` is returned for groups of more than one block."""
     def run(batches):
@@ -211,7 +211,7 @@ def _round(parts: DataFrame, percent: int, last: bool = False) -> DataFrame:
         if out:
             yield table(out)
 
-    dealt = parts.select("grp", "block", ((F.col("k") > 1) & F.lit(not last)).alias("split"), "item", "items", "radius")
+    dealt = parts.select("grp", "block", (F.col("k") > 1).alias("split"), "item", "items", "radius")
     # By number: a few sets can be much work, which partitions joined by their size would put into one task.
     dealt = dealt.repartition(shuffle_partitions(parts.sparkSession), "grp", "block")
     dealt = dealt.sortWithinPartitions("grp", "block")
@@ -267,13 +267,29 @@ def blocked(members: DataFrame, sizes: DataFrame, block: int = BLOCK, block_item
     return members.join(sizes, F.col("grp") == F.col("g")).drop("g").withColumn("block", F.pmod(F.xxhash64("item"), F.col("k")))
 
 
-def paired(members: DataFrame, sizes: DataFrame, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """members once for each pair of half blocks of their group that they are in, the pair being the block: all of a group's
-    members meet, and a pair is no larger than a block."""
-    halves = blocked(members, sizes, block / 2, block_items / 2)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: (j != F.col("block")) | (F.col("k") == 1))
-    both = halves.withColumn("other", F.explode(others))
-    return both.withColumn("block", F.least("block", "other") * F.col("k") + F.greatest("block", "other")).drop("other").withColumn("k", F.lit(1).cast("long"))
+def _crossed(sets: DataFrame, sizes: DataFrame, percent: int, block: int, block_items: int) -> DataFrame:
+    """Edges a, b with the components of all links of groups' sets (grp, item, items): every two half blocks meet in a task, and
+    a spanning forest of the links found there is returned."""
+    def run(batches):
+        import pyarrow as pa
+
+        for (_, i, j), rows in _blocks(batches, 3):
+            index, names, found = Index(), [], UnionFind()
+            for side, name, items in sorted(rows):
+                items = np.frombuffer(items, np.uint64).tolist()
+                for k, _ in index.search(items, percent / 100) if side or i == j else ():
+                    found.join(names[k], name)
+                if not side:
+                    names.append(name)
+                    index.add(items)
+            out = [(x, r) for x in list(found) if (r := found.root(x)) != x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
+
+    halves = blocked(sets, sizes, block / 2, block_items / 2).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = halves.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "item", "items")
+    dealt = dealt.repartition(shuffle_partitions(sets.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return dealt.mapInArrow(returning(run), "a binary, b binary")
 
 
 def link_groups(space: Workspace, sets: DataFrame, percent: int, split: bool, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -285,35 +301,47 @@ def link_groups(space: Workspace, sets: DataFrame, percent: int, split: bool, bl
         return done
     first = first.where("split")  # from here on only groups of more than one block count, of which it has the sets
     edge = lambda x: x.where("other is null").select(F.col("item").alias("a"), F.col("root").alias("b"))
-    pairs = lambda x: x.where("other is not null").select(F.col("item").alias("left"), F.col("other").alias("right"), F.col("away").alias("apart"))
-    edges, unsure = [edge(first)], [pairs(first)]
+    pairs = lambda x: x.where("other is not null").select("grp", F.col("item").alias("left"), F.col("other").alias("right"), F.col("away").alias("apart"))
+    count = lambda x: x.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items") / 8).alias("m"))
+    k = F.ceil(F.greatest(F.col("n") / float(block), F.col("m") / float(block_items)))
+    edges, unsure, crossed = [edge(first)], [pairs(first)], []
     under = first.where("other is null").select("leader", "item", "away")  # what a leader of the last round stands for, itself too
-    now, last = first, None
+    now, was = first, count(first.where("items is not null")).select(F.col("grp").alias("g"), F.col("n").alias("was"))
     while True:
         tops = now.where("items is not null and item = leader").select("grp", "item", "items", "radius")
-        sums = tops.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("items") / 8).alias("m"))
-        top = sums.agg(F.sum("n"), F.sum(F.ceil(F.greatest(F.col("n") / float(block), F.col("m") / float(block_items)))), F.count(F.lit(1))).first()
-        alone = top[0] is None or top[1] == top[2]
-        stuck = not alone and last is not None and top[0] > MERGED * last
-        last = top[0]
-        now = space.save(_round((paired if stuck else blocked)(tops, sums, block, block_items), percent, last=stuck))
+        sums = space.save(count(tops).join(was, F.col("grp") == F.col("g")).withColumn("many", k > 1).withColumn("stuck", F.col("many") & (F.col("n") > MERGED * F.col("was"))).drop("g", "was"))
+        kinds = {(r.many, r.stuck) for r in sums.select("many", "stuck").distinct().collect()}  # at most three rows
+        if (True, True) in kinds:
+            hard = sums.where("stuck").select(F.col("grp").alias("g"))
+            whole = first.where("items is not null").join(hard, F.col("grp") == F.col("g"), "left_semi").select("grp", "item", "items")
+            edges.append(space.save(_crossed(whole, count(whole), percent, block, block_items)))
+            crossed.append(hard)
+        if not kinds - {(True, True)}:
+            break
+        sums = sums.where("not stuck")
+        now = space.save(_round(blocked(tops, sums, block, block_items), percent))
         edges.append(edge(now))
         unsure.append(pairs(now))
         # Members of a leader of the round before are now also those of its own leader.
         over = now.where("other is null and item != leader").select(F.col("leader").alias("upper"), F.col("item").alias("lower"), F.col("away").alias("more"))
         lower = under.join(over, F.col("leader") == F.col("lower")).select(F.col("upper").alias("leader"), "item", (F.col("away") + F.col("more")).alias("away"))
         under = space.save(under.unionByName(lower).groupBy("leader", "item").agg(F.min("away").alias("away")))
-        if alone or stuck:
+        if (True, False) not in kinds:
             break
+        was = sums.select(F.col("grp").alias("g"), F.col("n").alias("was"))
     union = lambda x: x[0] if len(x) == 1 else x[0].unionByName(union(x[1:]))
     roots = connected(space, union(edges))
-    doubt = union(unsure).groupBy("left", "right").agg(F.min("apart").alias("apart"))
+    doubt = union(unsure)
+    if crossed:  # where all sets have met nothing is left undecided
+        doubt = doubt.join(union(crossed), F.col("grp") == F.col("g"), "left_anti")
+    doubt = doubt.groupBy("left", "right").agg(F.min("apart").alias("apart"))
     for side in ("left", "right"):
         doubt = doubt.join(roots.select(F.col("node").alias(side), F.col("root").alias(side + "_root")), side, "left")
     doubt = space.save(doubt.where(F.coalesce("left_root", "left") != F.coalesce("right_root", "right")).select("left", "right", "apart", F.lit(1 - percent / 100).alias("reach")))
     if not doubt.isEmpty():
         items = first.where("items is not null").select("item", "items").dropDuplicates(["item"])
         cells = _cells(doubt, under, block).withColumnRenamed("item", "at").join(items, F.col("at") == F.col("item")).drop("at")
-        roots = connected(space, union(edges).unionByName(_settle(cells, percent)))
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = connected(space, known.unionByName(_settle(cells, percent)))
     lone = first.where("other is null").select("item").distinct().join(roots, F.col("item") == F.col("node"), "left_anti").select("item", F.col("item").alias("root"))
     return done.unionByName(roots.select(F.col("node").alias("item"), "root")).unionByName(lone)
