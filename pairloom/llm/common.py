@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ OWN = "__pl_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset and all run
+    on this machine. A cluster without one is refused: a machine's own folder would lose what an executor wrote."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or "/tmp/checkpoints").rstrip("/")
 
 

@@ -10,7 +10,8 @@ Equal vectors of a shard share one node, which keeps as many of the smallest ids
 a vector that holds a third of all rows costs one node a shard.
 
 Defined results: null, empty or zero vectors and those with null or non-finite components take no part, nor do rows without
-an id; repeated rows count once; vectors are compared only to those of their own dimension; fewer candidates than wanted
+an id; repeated rows count once; an id of several vectors is as near as its nearest one, to any of the query's, and is returned
+once; vectors are compared only to those of their own dimension; fewer candidates than wanted
 give all; an empty table gives none.
 """
 
@@ -204,6 +205,7 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, *, k: int = 5, be
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "vec_id", "score"])
 
     found = both.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,7 +5,8 @@ check, and looser spellings (obfuscated addresses, numbers without a country pre
 each: the form (check passed, failed, or a loose spelling), a gazetteer (top-level domains, issuer prefixes, calling codes,
 reserved networks), words of the context before it, and its shape. Expectation-maximisation over the counts of vote
 patterns estimates how reliable each labeler is and how likely each pattern is personal data; these likelihoods train a
-logistic span classifier, which decides on the loose candidates. Base findings that pass their check always stay.
+logistic span classifier, which decides on the loose candidates; one that its context speaks against (an order number, a
+version) is never added. Base findings that pass their check always stay.
 
 The number of vote patterns is fixed by the labelers (at most 4 kinds times 81), so the driver gets a table of bounded size
 whatever the input; everything else is column expressions, without a shuffle of texts.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import OWN
-from .spans import located, ordered, scan
+from .spans import folded, located, ordered, scan
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "gazetteer", "context", "shape")
@@ -207,7 +208,8 @@ def annotate(docs: DataFrame, model: Model, *, text: str = "text", threshold: fl
     base = F.col(OWN + "base")
 
     def added(kind: str) -> Column:
-        good = lambda x: ~x["votes"].startswith("1,") & (model.chance(kind, x["votes"]) >= threshold)
+        against = lambda x: F.split(x["votes"], ",")[LABELERS.index("context")] == "-1"
+        good = lambda x: ~x["votes"].startswith("1,") & ~against(x) & (model.chance(kind, x["votes"]) >= threshold)
         return plain(F.filter(F.concat(F.col(f"{OWN}c_{kind}"), F.col(f"{OWN}l_{kind}")), good))
 
     found = found.withColumn(OWN + "more", ordered({k: added(k) for k in KINDS}))
@@ -218,7 +220,7 @@ def annotate(docs: DataFrame, model: Model, *, text: str = "text", threshold: fl
         return F.when(x["start"] >= acc["at"], new).otherwise(acc)
 
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
-    more = F.aggregate(more, F.struct(F.lit(0).alias("at"), none.alias("out")), apart, lambda acc: acc["out"])
+    more = folded(more, F.struct(F.lit(0).alias("at"), none.alias("out")), apart, none)
     spans = F.when(F.size(OWN + "more") == 0, base).otherwise(F.sort_array(F.concat(base, more)))
     out = found.withColumn("spans", spans).withColumn("base", base)
     return out.drop(*[c for c in out.columns if c.startswith(OWN)])

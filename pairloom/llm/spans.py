@@ -32,6 +32,23 @@ def scan(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     return docs.withColumns(found).drop(*[f"{OWN}{x}_{k}" for k in patterns for x in "mp"])
 
 
+#: Elements folded into one list before it is added to the whole.
+PIECE = 128
+
+
+def folded(items: Column, begin: Column, step: Callable[[Column, Column], Column], none: Column) -> Column:
+    """The list ``out`` that a fold of structs (at, out) gathers. As a list is copied to add to it, pieces of PIECE elements are
+    gathered by themselves first: a text's matches cost few copies of the whole."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PIECE).cast("int")), lambda i: F.slice(items, i * PIECE + 1, F.lit(PIECE)))
+
+    def whole(acc, piece):
+        own = F.aggregate(piece, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["out"], own["out"]).alias("out"))
+
+    one = F.aggregate(items, begin, step, lambda acc: acc["out"])
+    return F.when(F.size(items) <= PIECE, one).otherwise(F.aggregate(pieces, begin, whole, lambda acc: acc["out"]))
+
+
 def located(column: str, fields: Callable[[Column, Column], dict[str, Column]], keep: Callable[[Column, Column], Column], empty: str) -> Column:
     """Structs (start, end, *fields) of the matches of a scan()ned column that ``keep(match, before)`` accepts.
 
@@ -46,7 +63,7 @@ def located(column: str, fields: Callable[[Column, Column], dict[str, Column]],
         return F.struct(end.alias("at"), F.when(keep(x["match"], x["before"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.col(column).isNull(), none).otherwise(F.aggregate(F.col(column), begin, step, lambda acc: acc["out"]))
+    return F.when(F.col(column).isNull(), none).otherwise(folded(F.col(column), begin, step, none))
 
 
 SPAN = "array<struct<start:int,end:int>>"
