@@ -104,8 +104,9 @@ lost AS (SELECT *, CASE WHEN best IS NULL OR final IS NULL THEN 0.0 ELSE greates
 
 GRADS = "g AS (SELECT CAST(label AS VARCHAR) AS name, vec_id // 10 AS batch, vec_id, unnest(range(0, len(embedding))) AS idx, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 FACTORS = """
-ranked AS (SELECT 'm' || label AS module, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank FROM embeddings),
-f AS (SELECT module, rank, unnest(range(0, len(embedding))) AS idx, unnest(embedding)::DOUBLE AS value FROM ranked WHERE rank < 8)"""
+placed AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings WHERE vec_id IS NOT NULL),
+ranked AS (SELECT 'm' || label || '.' || (place // 8) AS module, embedding, place % 8 AS rank FROM placed),
+f AS (SELECT module, rank, unnest(range(0, len(embedding))) AS idx, unnest(embedding)::DOUBLE AS value FROM ranked)"""
 ORDERS = "b AS (SELECT o_orderkey, o_orderpriority, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 16 AS BIGINT) AS batch_id FROM orders)"
 
 

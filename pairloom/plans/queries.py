@@ -5,6 +5,7 @@ Predictions are made from gold texts by fixed edits, as text generation is not p
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -322,9 +323,11 @@ def quadratic_penalty(spark, sf_dir):
 
 
 def _factors(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", F.concat(F.lit("m"), F.col("label")).alias("module"), "embedding")
-    place = F.row_number().over(Window.partitionBy("module").orderBy("vec_id")) - 1
-    return params.exploded(rows.withColumn("rank", place).where("rank < 8"), ["module", "rank"], "embedding")
+    """Every eight vectors of a label, by vec_id, are the factors of a module."""
+    rows = read(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", "label", "embedding")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    module = F.concat(F.lit("m"), F.col("label"), F.lit("."), F.floor(F.col("place") / 8))
+    return params.exploded(rows.select(module.alias("module"), (F.col("place") % 8).alias("rank"), "embedding"), ["module", "rank"], "embedding")
 
 
 @query
@@ -367,8 +370,11 @@ def adapter_scales(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, or a local one where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    """A new folder that driver and executors share, or a local one where none is set and all run on this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = at or tempfile.gettempdir()
     return f"{at}/pairloom-{uuid.uuid4().hex}"
 
 
