@@ -83,11 +83,14 @@ def split_punctuation(c: Column) -> Column:
     return c
 
 
-def scored_tokens(c: Column, *, preserve_case: bool = False, nonorm: bool = False) -> Column:
-    """Tokens for the smoothed score; nonorm takes white space tokens as they are. An array of strings is joined by spaces
-    first, unless nonorm is set."""
+def scored_tokens(c: Column, *, preserve_case: bool = False, nonorm: bool = False, listed: bool = False) -> Column:
+    """Tokens for the smoothed score; nonorm takes white space tokens as they are. With ``listed`` the column is an array of
+    strings, joined by spaces first (nulls in it are left out); nonorm takes texts only."""
+    if nonorm and listed:
+        raise ValueError("nonorm takes texts, not lists")
     if nonorm:
         return tokens(c)
+    c = joined(c) if listed else c
     c = F.concat(F.lit(" "), unescape(join_lines(c)), F.lit(" "))
     return tokens(split_punctuation(c if preserve_case else F.lower(c)))
 

@@ -40,6 +40,18 @@ def tokenised(pairs: DataFrame, pred: str, refs: str, smooth_tokens: bool, **opt
     return pairs.withColumns({"hyp": cut(X.as_text(F.col(pred))), "golds": golds})
 
 
+def unpaired(pairs: DataFrame, by: list[str], *, pred: str = "pred", refs: str = "gold") -> DataFrame:
+    """by, pairs, no_pred and no_refs: how many pairs there are, and how many lack a side (null)."""
+    lacking = {f"no_{name}": F.count_if(F.col(c).isNull()) for name, c in (("pred", pred), ("refs", refs))}
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), *[c.alias(name) for name, c in lacking.items()])
+
+
+def paired(pairs: DataFrame, *, pred: str = "pred", refs: str = "gold") -> DataFrame:
+    """The pairs themselves; the job that reads them fails at the first that lacks a side, without a pass of its own."""
+    whole = F.col(pred).isNotNull() & F.col(refs).isNotNull()
+    return pairs.withColumn(pred, F.when(whole, F.col(pred)).otherwise(F.raise_error(F.lit("a pair lacks its prediction or its reference"))))
+
+
 def components(pairs: DataFrame, keys: list[str], *, pred: str = "pred", refs: str = "gold", n: int = 4, smooth_tokens: bool = True, eff_ref_len: str = "shortest", **options) -> DataFrame:
     """keys, testlen, reflen, guess and correct (arrays by order) of every pair. A pair without references counts as one with
     an empty one."""
@@ -125,13 +137,15 @@ def plain_bleu(sums: DataFrame, *, smooth: bool, n: int = 4) -> DataFrame:
     return sums.withColumn("bleu", F.when(F.least(*ps) > 0, mean * brevity).otherwise(0.0))
 
 
-def corpus_bleu(pairs: DataFrame, by: list[str], *, kind: str, smooth: int | bool, pred: str = "pred", refs: str = "gold", n: int = 4, **options) -> DataFrame:
+def corpus_bleu(pairs: DataFrame, by: list[str], *, kind: str, smooth: int | bool, pred: str = "pred", refs: str = "gold", n: int = 4, strict: bool = False, **options) -> DataFrame:
     """by, bleu, n_pairs (and the sums) of pairs; kind "smooth" or "plain". smooth has no default on purpose: scores made with
-    different settings must not be compared."""
+    different settings must not be compared. A null side counts as the text "None", or fails the job with strict."""
     if kind not in ("smooth", "plain"):
         raise ValueError(f"kind is smooth or plain, not {kind!r}")
     if kind == "plain" and options:
         raise ValueError("options are for the smooth kind")
+    if strict:
+        pairs = paired(pairs, pred=pred, refs=refs)
     sums = corpus_sums(components(pairs, by, pred=pred, refs=refs, n=n, smooth_tokens=kind == "smooth", **options), by, n)
     return smooth_bleu(sums, n, int(smooth)) if kind == "smooth" else plain_bleu(sums, smooth=bool(smooth), n=n)
 

@@ -78,6 +78,23 @@ def summary(scores: DataFrame, test: DataFrame, n_steps: int, n_tasks: int) -> D
     return rows.withColumns({"avg_val": F.avg("val").over(every), "avg_test": F.avg("test").over(every), "avg_forgetting": F.coalesce(lost, F.lit(0.0)) / max(1, n_tasks - 1)})
 
 
+def step_scores(preds: DataFrame, tasks: list[str], steps: list[int], *, split: str = "val", **options) -> DataFrame:
+    """eval_task, j, step, score (BLEU), em, n: every task evaluated after every step, from (eval_task, step, split, pred, gold).
+
+    A task without predictions after a step keeps its row, without a score. The grid is tasks times steps, both given.
+    """
+    found = evaluate(preds.where(F.col("split") == split), ["eval_task", "step"], task="eval_task", **options)
+    names, at = F.array(*[F.lit(t) for t in check_tasks(tasks)]), F.array(*[F.lit(s).cast("int") for s in steps])
+    grid = preds.sparkSession.range(1).select(F.posexplode(names).alias("j", "eval_task")).select("eval_task", "j", F.explode(at).alias("step"))
+    return grid.join(found, ["eval_task", "step"], "left").select("eval_task", "j", "step", F.col("bleu").alias("score"), "em", F.coalesce("n", F.lit(0.0)).alias("n"))
+
+
+def training_report(preds: DataFrame, tasks: list[str], steps: list[int], *, val: str = "val", test: str = "test", **options) -> DataFrame:
+    """summary() of predictions: all tasks on the validation split after each step, and on the test split after the last."""
+    last = step_scores(preds, tasks, steps[-1:], split=test, **options)
+    return summary(step_scores(preds, tasks, steps, split=val, **options), last.select("eval_task", F.col("score").alias("test")), len(steps), len(tasks))
+
+
 def metric_label(task: Column, smooth_tasks: tuple[str, ...] = ("CodeSearchNet",)) -> Column:
     return F.when(task.isin(*smooth_tasks), "SmoothBLEU").otherwise("BLEU")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +69,16 @@ def examples(df: DataFrame, spec: Task, keep: tuple[str, ...] = ()) -> DataFrame
     return df.select(*keep, F.lit(spec.name).alias("task"), prompt(F.col(spec.text), spec.instruction, spec.suffix).alias("text"), X.as_text(F.col(spec.label)).alias("label"))
 
 
+def assembled(tables: Mapping[str, DataFrame], known: dict[str, Task] = TASKS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One dataset of several tasks' tables, each by its own columns, instruction and suffix. An unknown task is refused."""
+    if not tables:
+        raise ValueError("no tasks are given")
+    return reduce(DataFrame.unionByName, [examples(df, task(name, known), keep) for name, df in tables.items()])
+
+
 def word_ids(tokens: Column, size: int = 30_000, first: int = 3) -> Column:
-    """Ids from a hash of each token: a stand-in for a vocabulary, which is given by the caller in real use."""
-    return F.transform(tokens, lambda t: (F.pmod(F.crc32(t), F.lit(size)) + first).cast("int"))
+    """Ids from 32 bits of each token's MD5: a stand-in for a vocabulary, which is given by the caller in real use."""
+    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size + first).cast("int"))
 
 
 def truncated(ids: Column, length: int) -> Column:

@@ -1,5 +1,6 @@
 """DuckDB SQL for the registered queries."""
 
+# White space, special literals, articles, entities and punctuation patterns of both tokenisers, as in functions/text.py.
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -115,9 +116,61 @@ def ids(t: str, n: int, pad: str) -> str:
     return f"array_to_string([CASE WHEN i <= len({t}) THEN CAST({t}[i] AS VARCHAR) ELSE '{pad}' END FOR i IN range(1, {n} + 1)], ',')"
 
 
-# The scores by language over all documents have none: n-gram counts of whole documents take DuckDB a minute at sf0.01. The same
-# operators are compared over dialogue turns, and with a plain model in the tests.
+def stripped(s: str) -> str:
+    return f"regexp_replace(regexp_replace({s}, '^{WS}', ''), '{WS}$', '')"
+
+
+#: Every task's predictions after each step; a cell is a task, a step and a split.
+STEPPED = TURNS + f"""
+, gold_words AS (SELECT *, CASE WHEN part = 0 THEN 'CodeSearchNet' ELSE 'task' || part END AS task, CASE WHEN (conv_id // 4) % 2 = 0 THEN 'val' ELSE 'test' END AS split, {tokens('gold')} AS w FROM pairs),
+stepped AS (
+  SELECT task || ':' || step || ':' || split AS cell, task, gold, array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF (i - 1) % (step + 3) <> step], ' ') AS pred
+  FROM gold_words, (SELECT unnest([0, 1, 2]) AS step))"""
+
+
+def stepped() -> str:
+    """CTEs up to cells: eval_task, j, step, split, score, em, n of the grid of tasks, steps and splits."""
+    part = lambda cut, which: sums(STEPPED, "cell", cut).replace("AS refs FROM pairs", f"AS refs FROM stepped WHERE {which}")
+    return f"""
+WITH {STEPPED},
+found AS (
+  SELECT * FROM ({part(scored, "task = 'CodeSearchNet'")} SELECT cell, {smooth()} AS bleu, n_pairs FROM s)
+  UNION ALL SELECT * FROM ({part(tokens, "task <> 'CodeSearchNet'")} SELECT cell, {plain(False)} AS bleu, n_pairs FROM s)),
+hits AS (SELECT cell, sum(CASE WHEN {norm('pred')} = {norm('gold')} THEN 1 ELSE 0 END) / count(*) AS em FROM stepped GROUP BY 1),
+names AS (SELECT unnest(['task1', 'CodeSearchNet', 'task2', 'task3', 'task9']) AS eval_task, unnest([0, 1, 2, 3, 4]) AS j),
+grid AS (SELECT * FROM names, (SELECT unnest([0, 1, 2]) AS step), (SELECT unnest(['val', 'test']) AS split)),
+cells AS (
+  SELECT eval_task, j, step, split, bleu AS score, em, coalesce(n_pairs, 0)::DOUBLE AS n
+  FROM grid LEFT JOIN (found JOIN hits USING (cell)) ON cell = eval_task || ':' || step || ':' || split)"""
+
+
 ORACLES = {
+    "bleu_smooth_by_lang": f"{sums(DOCS, 'lang', scored)} SELECT lang, n_pairs, testlen, reflen, round({smooth()}, 6) AS bleu, {PRECISE} FROM s",
+    "bleu_plain_by_lang": f"{sums(DOCS, 'lang', tokens)} SELECT lang, n_pairs, testlen, reflen, round({plain(False)}, 6) AS bleu FROM s",
+    "unpaired_turns": """
+WITH t AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id % 4 AS part, count(*) AS pairs, count(*) FILTER (text IS NULL) AS no_pred, count(*) FILTER (next_role IS NULL OR next_role <> 'assistant' OR next_text IS NULL) AS no_refs
+FROM t WHERE role = 'user' GROUP BY 1""",
+    "scores_after_steps": stepped() + " SELECT eval_task, j, step, round(score, 6) AS score, round(em, 6) AS em, n FROM cells WHERE split = 'val'",
+    "training_report": stepped() + """,
+f AS (SELECT eval_task, j, max(score) FILTER (split = 'val' AND step < 2) AS best, max(score) FILTER (split = 'val' AND step = 2) AS final, max(score) FILTER (split = 'test' AND step = 2) AS test
+      FROM cells GROUP BY 1, 2),
+lost AS (SELECT *, CASE WHEN best IS NULL OR final IS NULL THEN 0.0 ELSE greatest(0.0, best - final) END AS forgetting FROM f)
+SELECT eval_task, j, round(forgetting, 6) AS forgetting, round(coalesce(final, 0), 6) AS val, round(coalesce(test, 0), 6) AS test, round(avg(coalesce(final, 0)) OVER (), 6) AS avg_val,
+       round(avg(coalesce(test, 0)) OVER (), 6) AS avg_test, round(sum(CASE WHEN j < 4 THEN forgetting END) OVER () / 4, 6) AS avg_forgetting FROM lost""",
+    "listed_turn_tokens": f"""
+WITH c AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn), '') AS t FROM conversations GROUP BY 1)
+SELECT conv_id, CAST(len({scored('t')}) AS BIGINT) AS n, md5(array_to_string({scored('t')}, ' ')) AS tokens FROM c""",
+    "assembled_examples": " UNION ALL ".join(
+        f"SELECT {key} AS id, '{name}' AS task, md5({stripped(f"'{ask}' || coalesce(text, 'None')")}) AS text, coalesce({label}, 'None') AS label FROM {source}"
+        for name, source, key, label, ask in (("CodeTrans", "conversations", "conv_id", "role", "translate java-to-csharp: "), ("CONCODE", "documents", "doc_id", "lang", "generate java: "),
+                                              ("BFP", "benchmark", "item_id", "'x'", "refactor java: "))),
+    "encoded_turns": f"""
+WITH {TURNS}, e AS (
+  SELECT conv_id, turn, [CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 30000 + 3 FOR x IN {tokens('pred')}] AS x, [CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 30000 + 3 FOR x IN {tokens('gold')}] AS y FROM pairs)
+SELECT conv_id, turn, {ids('x', 32, '0')} AS ids, array_to_string([CASE WHEN i <= len(x) THEN '1' ELSE '0' END FOR i IN range(1, 33)], ',') AS mask,
+       {ids('y', 48, '-100')} AS labels, {ids('y', 48, '0')} AS unmasked FROM e""",
+    "metric_log_round_trip": "SELECT 'documents' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages",
     "em_rate_by_lang": f"""
 WITH p AS (SELECT lang, text AS gold, CASE doc_id % 3 WHEN 0 THEN 'the ' || text || ' !' WHEN 1 THEN text || ' more' ELSE replace(text, ' ', '  ') END AS pred FROM documents)
 SELECT lang, round(sum(CASE WHEN {norm('pred')} = {norm('gold')} THEN 1 ELSE 0 END) / greatest(1, count(*)), 6) AS em, count(*)::DOUBLE AS n FROM p GROUP BY lang""",

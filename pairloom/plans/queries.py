@@ -124,6 +124,38 @@ def evaluation_by_task(spark, sf_dir):
     return rounded(out, "em", "bleu")
 
 
+@query
+def unpaired_turns(spark, sf_dir):
+    """All user turns, the assistant's answer being their reference: how many lack one."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(order), "next_text": F.lead("text").over(order)}).where("role = 'user'")
+    rows = rows.select((F.col("conv_id") % 4).alias("part"), F.col("text").alias("pred"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("gold"))
+    return bleu.unpaired(rows, ["part"])
+
+
+def predictions(spark, sf_dir):
+    """After step s, a prediction is the gold text without one in s + 3 words; half of the dialogues are for validation."""
+    rows = turns(spark, sf_dir).withColumn("eval_task", F.when(F.col("part") == 0, "CodeSearchNet").otherwise(F.concat(F.lit("task"), F.col("part"))))
+    rows = rows.withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    kept = F.filter(X.tokens(F.col("gold")), lambda t, i: i % (F.col("step") + 3) != F.col("step"))
+    split = F.when(F.floor(F.col("conv_id") / 4) % 2 == 0, "val").otherwise("test")
+    return rows.select("eval_task", "step", split.alias("split"), F.array_join(kept, " ").alias("pred"), "gold")
+
+
+TRAINED = ["task1", "CodeSearchNet", "task2", "task3", "task9"]
+
+
+@query
+def scores_after_steps(spark, sf_dir):
+    return rounded(evaluate.step_scores(predictions(spark, sf_dir), TRAINED, [0, 1, 2]), "score", "em")
+
+
+@query
+def training_report(spark, sf_dir):
+    out = evaluate.training_report(predictions(spark, sf_dir), TRAINED, [0, 1, 2])
+    return rounded(out, "val", "forgetting", "test", "avg_val", "avg_test", "avg_forgetting")
+
+
 @query
 def normalised_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.normalise(F.col("text")).alias("norm"))
@@ -137,6 +169,14 @@ def scored_page_tokens(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(tok).cast("long").alias("n"), F.md5(X.joined(tok)).alias("tokens"), F.md5(X.joined(plain)).alias("plain"), F.md5(X.joined(cased)).alias("cased"))
 
 
+@query
+def listed_turn_tokens(spark, sf_dir):
+    """The turns of a dialogue as a list of strings, tokenised as one text."""
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    tok = X.scored_tokens(F.transform("t", lambda x: x["text"]), listed=True)
+    return rows.select("conv_id", F.size(tok).cast("long").alias("n"), F.md5(X.joined(tok)).alias("tokens"))
+
+
 @query
 def text_pieces(spark, sf_dir):
     t = F.col("text")
@@ -203,6 +243,18 @@ def prompts(spark, sf_dir):
     return prep.examples(rows, spec, keep=("conv_id", "turn"))
 
 
+@query
+def assembled_examples(spark, sf_dir):
+    """A dataset of three tasks, each from a table of its own."""
+    by_task = {
+        "CodeTrans": read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("java"), F.col("role").alias("cs")),
+        "CONCODE": read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("nl"), F.col("lang").alias("code")),
+        "BFP": read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("buggy"), F.lit("x").alias("fixed")),
+    }
+    out = prep.assembled(by_task, prep.catalogue("short"), keep=("id",))
+    return out.select("id", "task", F.md5("text").alias("text"), "label")
+
+
 @query
 def encoded_turns(spark, sf_dir):
     rows = turns(spark, sf_dir).select("conv_id", "turn", "pred", "gold")
@@ -402,6 +454,14 @@ def task_table_scan(spark, sf_dir):
     return tables.read_task(spark, "CONCODE", {"CONCODE": path}, "dev")
 
 
+@query
+def metric_log_round_trip(spark, sf_dir):
+    path = scratch(spark)
+    for name in ("documents", "pages"):
+        tables.append_metrics(tables.count_report(read(spark, sf_dir, name), name), path)
+    return tables.read_metrics(spark, path)
+
+
 @query
 def row_counts(spark, sf_dir):
     out = [tables.count_report(read(spark, sf_dir, n), n) for n in ("documents", "pages", "conversations", "benchmark")]

@@ -69,9 +69,14 @@ def count_report(df: DataFrame, name: str) -> DataFrame:
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Adds rows to the metrics kept in a folder, which is made if it is not there."""
     metrics.write.mode("append").parquet(path)
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def clear(spark: SparkSession, path: str) -> int:
     """Removes the plain files of a folder (not its folders) on any file system Spark reaches; how many were removed."""
     jvm = spark.sparkContext._jvm

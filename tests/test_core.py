@@ -126,3 +126,48 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.read_task(spark, "other", {})
     assert tables.clear(spark, str(tmp_path / "j")) > 0 and tables.clear(spark, str(tmp_path / "none")) == 0
+
+
+def test_lists_are_joined_before_tokenising(spark):
+    df = spark.createDataFrame([(1, ["A b,", None, "c-1"]), (2, [])], "i int, t array<string>")
+    got = [r.x for r in df.select("i", X.scored_tokens(F.col("t"), listed=True).alias("x")).orderBy("i").collect()]
+    assert got == [scored("A b, c-1"), []]
+    with pytest.raises(ValueError):
+        X.scored_tokens(F.col("t"), nonorm=True, listed=True)
+
+
+def test_pairs_that_lack_a_side(spark):
+    df = spark.createDataFrame([(1, "a", "a"), (1, None, "a"), (1, "a", None)], "t int, pred string, gold string")
+    assert tuple(bleu.unpaired(df, ["t"]).first()) == (1, 3, 1, 1)
+    assert bleu.corpus_bleu(df, ["t"], kind="plain", smooth=True).first().n_pairs == 3
+    assert bleu.corpus_bleu(df.limit(1), ["t"], kind="plain", smooth=True, strict=True).first().n_pairs == 1
+    with pytest.raises(Exception, match="lacks its prediction"):
+        bleu.corpus_bleu(df, ["t"], kind="plain", smooth=True, strict=True).collect()
+
+
+def test_every_task_has_a_score_after_every_step(spark):
+    text = "a b c d e f"
+    rows = [("x", 0, "val", text, text), ("x", 1, "val", "z", text), ("x", 1, "test", text, text), ("y", 1, "val", text, text)]
+    preds = spark.createDataFrame(rows, "eval_task string, step int, split string, pred string, gold string")
+    scores = {(r.eval_task, r.step): r.score for r in evaluate.step_scores(preds, ["x", "y"], [0, 1]).collect()}
+    assert scores == {("x", 0): pytest.approx(1), ("x", 1): 0, ("y", 0): None, ("y", 1): pytest.approx(1)}
+    out = {r.eval_task: r for r in evaluate.training_report(preds, ["x", "y"], [0, 1]).collect()}
+    assert out["x"].forgetting == pytest.approx(1) and out["x"].test == pytest.approx(1) and out["y"].test == 0
+    assert out["y"].avg_val == pytest.approx(0.5) and out["y"].avg_forgetting == pytest.approx(1)
+
+
+def test_datasets_of_several_tasks(spark):
+    one = spark.createDataFrame([("n", "c")], "nl string, code string")
+    two = spark.createDataFrame([(None, "f", 1)], "buggy string, fixed string, more int")
+    got = {r.task: (r.text, r.label) for r in prep.assembled({"CONCODE": one, "BFP": two}, prep.catalogue("short")).collect()}
+    assert got == {"CONCODE": ("generate java: n", "c"), "BFP": ("refactor java: None", "f")}
+    for wrong in ({}, {"other": one}):
+        with pytest.raises(ValueError):
+            prep.assembled(wrong)
+
+
+def test_metrics_are_appended(spark, tmp_path):
+    at = str(tmp_path / "new" / "metrics")
+    for name in ("a", "b"):
+        tables.append_metrics(tables.count_report(spark.range(3), name), at)
+    assert sorted(map(tuple, tables.read_metrics(spark, at).collect())) == [("a", 3), ("b", 3)]
