@@ -140,7 +140,7 @@ def test_pairs_that_lack_a_side(spark):
     df = spark.createDataFrame([(1, "a", "a"), (1, None, "a"), (1, "a", None)], "t int, pred string, gold string")
     assert tuple(bleu.unpaired(df, ["t"]).first()) == (1, 3, 1, 1)
     assert bleu.corpus_bleu(df, ["t"], kind="plain", smooth=True).first().n_pairs == 3
-    assert bleu.corpus_bleu(df.limit(1), ["t"], kind="plain", smooth=True, strict=True).first().n_pairs == 1
+    assert bleu.corpus_bleu(df.na.drop(), ["t"], kind="plain", smooth=True, strict=True).first().n_pairs == 1
     with pytest.raises(Exception, match="lacks its prediction"):
         bleu.corpus_bleu(df, ["t"], kind="plain", smooth=True, strict=True).collect()
 
