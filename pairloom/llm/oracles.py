@@ -34,7 +34,7 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
 b AS (
   SELECT r.source, min(c.h + CASE WHEN c.upto - rest < rest - (c.upto - n) THEN 1 ELSE 0 END) AS below
   FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source WHERE rest > 0 AND c.upto > rest AND c.upto - n <= rest GROUP BY r.source)
-SELECT d.doc_id, d.size, r.source_size, round(r.target, 6) AS target,
+SELECT d.doc_id, d.size, r.source_size, r.target,
        CAST(d.size * (r.full_epochs + CASE WHEN d.h < coalesce(b.below, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
     "op10_chat": r"""
