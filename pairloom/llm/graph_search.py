@@ -4,7 +4,8 @@ Vectors are dealt to shards by a hash of their id (at least ``SHARDS``, of about
 is built by inserting its vectors in batches: a greedy beam search over the graph so far proposes neighbours, and relaxed
 pruning keeps the nearest one, drops every candidate that is ``ALPHA`` times nearer to it than to the vector, and goes on
 with the next, so that up to ``DEGREE`` diverse edges stay; reverse edges are added and pruned alike. Queries, in blocks,
-beam-search every shard, and the shards' best are merged by exact cosine in double precision.
+beam-search every shard, and the shards' best are merged by exact cosine in double precision. Shards are dealt to at most ``PARTS``
+parts; a block of queries is sent to each part once, whatever its number of shards, and never to the driver.
 
 Equal vectors of a shard share one node, which keeps as many of the smallest ids as a query can return; so ties are exact and
 a vector that holds a third of all rows costs one node a shard.
@@ -27,7 +28,7 @@ from .common import Workspace
 
 #: Set together from measured recall: in a full shard of random 64-dimensional vectors a beam of 64 finds 0.90 of the five
 #: nearest, 128 0.975, 192 0.994, 256 0.998.
-SHARDS, SHARD, BLOCK = 8, 5_000, 1024
+SHARDS, SHARD, BLOCK, PARTS = 8, 5_000, 1024, 64
 DEGREE, BEAM, QUERY_BEAM, ALPHA, SEEDS, BATCH = 24, 48, 256, 1.2, 16, 256
 
 
@@ -122,15 +123,26 @@ def usable(vector: Column) -> Column:
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
+    raw = raw.astype(float)
     scaled = raw / np.abs(raw).max(1, keepdims=True)
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _raw(column, dim: int) -> np.ndarray:
+    """A row a vector, in the precision of the column; zeros have no sign."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) + np.float32(0)
+
+
+def _doubles(blob: np.ndarray, dim: int, n: int) -> np.ndarray:
+    """n vectors from bytes of single or double precision."""
+    return blob.view(np.float32 if len(blob) == 4 * n * dim else float).reshape(n, dim).astype(float)
+
+
 _GRAPH = "dim int, shard long, n int, ids binary, counts binary, vectors binary, edges binary, entry binary"
 
 
 def index(space: Workspace, vectors: DataFrame, *, k: int = 5) -> tuple[DataFrame, int]:
-    """The written graphs of vectors (id long, vector array<double>), one row a dimension and shard, and the number of shards."""
+    """The written graphs of vectors (id long, vector array of float or double), one row a dimension and shard, and the number of shards."""
     count = vectors.count()
     shards = max(SHARDS, math.ceil(count / SHARD))
     kept = k + 1
@@ -140,17 +152,21 @@ def index(space: Workspace, vectors: DataFrame, *, k: int = 5) -> tuple[DataFram
 
         ids = group.column("id").to_numpy()
         dim = group.column("dim")[0].as_py()
-        raw = np.asarray(group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
+        raw = _raw(group.column("vector"), dim)
         order = np.argsort(ids, kind="stable")
         ids, raw = ids[order], raw[order]
         _, first, node = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * dim))).ravel(), return_index=True, return_inverse=True)
+        raw = raw[first]
+        by = np.argsort(node, kind="stable")
+        by = by[np.append(True, (node[by][1:] != node[by][:-1]) | (ids[by][1:] != ids[by][:-1]))]  # repeated rows count once
+        by.sort()
+        ids, node = ids[by], node[by]
         by = np.argsort(node, kind="stable")
         begin = np.searchsorted(node[by], np.arange(len(first)))
         rank = np.arange(len(ids)) - begin[node[by]]
         names, some = np.zeros((len(first), kept), np.int64), rank < kept
         names[node[by][some], rank[some]] = ids[by][some]
         counts = np.minimum(np.bincount(node), kept).astype(np.uint8)
-        raw = raw[first]
         graph, entry = build(_unit(raw))
         row = [dim, group.column("shard")[0].as_py(), len(first), names.tobytes(), counts.tobytes(), raw.tobytes(), graph.tobytes(), entry.tobytes()]
         kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
@@ -166,7 +182,7 @@ def _packed(queries: DataFrame, blocks: int) -> DataFrame:
         import pyarrow as pa
 
         dim = group.column("dim")[0].as_py()
-        raw = np.asarray(group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), float)
+        raw = _raw(group.column("vector"), dim)
         row = [dim, group.column("id").to_numpy().tobytes(), raw.tobytes()]
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["q_dim", "q_ids", "q_vectors"])
 
@@ -177,29 +193,49 @@ def _packed(queries: DataFrame, blocks: int) -> DataFrame:
 def search(graphs: DataFrame, shards: int, queries: DataFrame, *, k: int = 5, beam: int = QUERY_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for queries (id, vector), without rows of the query's own id."""
     blocks = max(1, math.ceil(queries.count() / BLOCK))
-    asked = _packed(queries, blocks).withColumn("q_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    both = graphs.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("shard") == F.col("q_shard"))).drop("q_dim", "q_shard", "shard")
+    parts = min(shards, PARTS)
+    none = [F.lit(None).cast("binary").alias(c) for c in ("counts", "edges", "entry")]
+    asked = _packed(queries, blocks).select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(True).alias("asks"), F.col("q_dim").alias("dim"),
+        (F.length("q_ids") / 8).cast("int").alias("n"), F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), *none)
+    # No join: its planner takes what explode multiplies for as small as what goes in, and may send it all to the driver to be broadcast.
+    both = graphs.select(F.pmod("shard", F.lit(parts)).alias("part"), F.lit(False).alias("asks"), "dim", "n", "ids", "vectors", "counts", "edges", "entry").unionByName(asked)
+    both = both.repartition(parts, "part").sortWithinPartitions("part", "asks")
+
+    def best(graph, own, q, asks):
+        x, raw, norm, ids, counts, edges, entry = graph
+        found, _ = _beam(x, edges, entry, _unit(q), beam)
+        for j, row in enumerate(found):
+            row = row[row >= 0][: 4 * k]
+            score = raw[row] @ q[j] / (norm[row] * np.linalg.norm(q[j]))
+            asks[j] += [(-s, v) for s, r in zip(score.tolist(), row) for v in ids[r, : counts[r]].tolist() if v != own[j]]
+            nearest = {}
+            for s, v in sorted(asks[j]):
+                nearest.setdefault(v, s)
+            asks[j] = [(s, v) for v, s in nearest.items()][:k]
 
     def run(batches):
         import pyarrow as pa
 
+        part, held = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda c, t, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_buffer(), t)
-                dim, n = batch.column("dim")[i].as_py(), batch.column("n")[i].as_py()
-                raw, ids, counts = get("vectors", float).reshape(n, dim), get("ids", np.int64).reshape(n, -1), get("counts", np.uint8)
-                edges, entry, x = get("edges", np.int32).reshape(n, DEGREE), get("entry", np.int32), _unit(raw)
-                names, asks = get("q_ids", np.int64), get("q_vectors", float).reshape(-1, dim)
-                norm = np.linalg.norm(raw, axis=1)
+                value = lambda c, i=i, batch=batch: batch.column(c)[i]
+                get = lambda c, t, value=value: np.frombuffer(value(c).as_buffer(), t)
+                dim, n = value("dim").as_py(), value("n").as_py()
+                if part != (part := value("part").as_py()):
+                    held = {}
+                raw, ids = _doubles(get("vectors", np.uint8), dim, n), get("ids", np.int64)
+                if not value("asks").as_py():
+                    held.setdefault(dim, []).append((_unit(raw), raw, np.linalg.norm(raw, axis=1), ids.reshape(n, -1), get("counts", np.uint8), get("edges", np.int32).reshape(n, DEGREE), get("entry", np.int32)))
+                    continue
                 out = []
-                for at in range(0, len(names), BATCH):
-                    q, own = asks[at : at + BATCH], names[at : at + BATCH]
-                    found, _ = _beam(x, edges, entry, _unit(q), beam)
-                    for j, row in enumerate(found):
-                        row = row[row >= 0][: 4 * k]
-                        score = raw[row] @ q[j] / (norm[row] * np.linalg.norm(q[j]))
-                        hits = [(-s, v) for s, r in zip(score.tolist(), row) for v in ids[r, : counts[r]].tolist() if v != own[j]]
-                        out += [(int(own[j]), v, -s) for s, v in sorted(hits)[:k]]
+                for at in range(0, n, BATCH):
+                    q, own = raw[at : at + BATCH], ids[at : at + BATCH]
+                    asks = [[] for _ in own]
+                    for graph in held.get(dim, ()):
+                        best(graph, own, q, asks)
+                    out += [(int(name), v, -s) for name, hits in zip(own, asks) for s, v in hits]
                 columns = list(zip(*out)) or [()] * 3
                 kinds = (pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "vec_id", "score"])
@@ -214,7 +250,7 @@ def nearest(table: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
     """The k nearest rows found for each row of table that meets is_query (a condition on column ``id``)."""
     space = Workspace(table.sparkSession, "graph-search")
     rows = table.where(usable(F.col(vector)) & F.col(vec_id).isNotNull())
-    rows = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).groupBy("id", "vector").agg(F.count(F.lit(1)).alias("n"))
-    rows = space.save(rows.select("id", "vector"))
+    single = table.select(F.col(vector).alias("v")).schema["v"].dataType.simpleString() == "array<float>"
+    rows = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("vector"))
     graphs, shards = index(space, rows, k=k)
     return search(graphs, shards, rows.where(is_query), k=k, beam=beam)

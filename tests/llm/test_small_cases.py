@@ -295,3 +295,26 @@ def test_chat(spark):
     assert r.rendered[a:b] == "é<|im_end|>\n"
     assert got[3, "user", 4].start == len(got[3, "user", 0].rendered)
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_graph_search_broadcasts_no_queries(spark):
+    """A limit that holds the queries, but not their copies for all shards, must not make these go through the driver."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(7, x[7].tolist())], "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = graph_search.nearest(rows, F.col("id") % 50 == 0)
+        got = found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    d = x.astype(float)
+    cos = d @ d.T / np.outer(np.linalg.norm(d, axis=1), np.linalg.norm(d, axis=1))
+    np.fill_diagonal(cos, -2)
+    want = {(q, int(v)) for q in range(0, 2000, 50) for v in np.argsort(-cos[q])[:5]}
+    assert len(got) == 200 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.99 * 200
+    assert all(abs(r.score - cos[r.query_id, r.vec_id]) < 1e-12 for r in got)
