@@ -8,8 +8,10 @@ Two texts link when their sets of distinct k-word shingles have 100 * intersecti
    n - ceil(percent * n) + 1 lists of a text may count as long, so each text is posted only under its rarest shingles. Two
    texts that link share one of these at least. How many they share is counted: what is left of the text whose posted
    shingles end first must make up for the rest of the overlap, which drops nearly all chance pairs and no link.
-   A shingle with more than ``LONG`` texts is never paired up: its texts are chained by size, which keeps every pair that
-   shares it and may link in one candidate group, and a task sends on only one text for each size bin of such a list.
+   A shingle with very many texts, ``LONG`` or twice what its counter can tell from chance, is never paired up: its texts are
+   chained by size, which keeps every pair that shares it and may link in one candidate group, and a task sends on only one
+   text for each size bin of such a list. The counters' noise grows with the input, and lists under it are paired up: chained,
+   they joined unlike texts to candidate groups of tens of thousands.
 3. Components of the candidate pairs are candidate groups; ``linking`` searches each exactly (heap-merged short lists,
    binary-probed long ones).
 
@@ -79,10 +81,12 @@ def _signed(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "place", "text").mapInArrow(returning(run), schema)
 
 
-def _levels(signed: DataFrame) -> np.ndarray:
-    """By counter how common its shingles are: 0 for no more than chance, then one more for each doubling.
+def _levels(signed: DataFrame) -> tuple[np.ndarray, int]:
+    """By counter how common its shingles are: 0 for no more than chance, then one more for each doubling; and how many texts a
+    list has at most to be paired up.
 
-    The counts are added up on the executors; the driver gets one byte a counter, CELLS in all.
+    The counts are added up on the executors; the driver gets two bytes a counter, CELLS in all. They keep a count to one
+    part in 90: coarser steps would hide what chance doesn't.
     """
     width = CELLS >> RANGE_BITS
 
@@ -95,15 +99,16 @@ def _levels(signed: DataFrame) -> np.ndarray:
                 got = np.frombuffer(pa.decompress(counts.as_py(), width * 4, "zstd"), np.uint32)
                 sums[cells] = sums.get(cells, np.zeros(width, np.uint64)) + got
         for cells, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([cells], pa.int32()), pa.array([(4 * np.log2(x + 1.0)).astype(np.uint8).tobytes()], pa.binary())], ["cells", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array([cells], pa.int32()), pa.array([np.round(64 * np.log2(x + 1.0)).astype(np.uint16).tobytes()], pa.binary())], ["cells", "q"])
 
     rows = signed.where("cells is not null").select("cells", "counts").repartition("cells").mapInArrow(returning(run), "cells int, q binary").collect()
-    q = np.zeros((1 << RANGE_BITS, width), np.uint8)
+    q = np.zeros((1 << RANGE_BITS, width), np.uint16)
     for row in rows:
-        q[row.cells] = np.frombuffer(row.q, np.uint8)
-    counts = 2 ** (q.ravel() / 4.0) - 1
+        q[row.cells] = np.frombuffer(row.q, np.uint16)
+    counts = 2 ** (q.ravel() / 64.0) - 1
     mean = counts.mean()
-    return np.log2(np.maximum(counts - mean, 0) / max(4, 3 * mean**0.5) + 1).astype(np.uint8)
+    chance = 3 * mean**0.5
+    return np.log2(np.maximum(counts - mean, 0) / max(4, chance) + 1).astype(np.uint8), max(LONG, int(2 * chance))
 
 
 def _bins(n: np.ndarray, percent: int) -> np.ndarray:
@@ -119,13 +124,13 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _spread(keys, classes, n, lasts, percent):
+def _spread(keys, classes, n, lasts, percent, most):
     """Chain edges of the long lists, and the postings to send on: of long lists one for each size bin."""
     order = np.lexsort((n, keys))
     keys, classes, n, lasts = keys[order], classes[order], n[order], lasts[order]
     first = np.flatnonzero(_starts(keys))
     size = np.diff(np.append(first, len(keys)))
-    long = np.repeat(size > LONG, size)
+    long = np.repeat(size > most, size)
     bins = _bins(n, percent)
     at = np.flatnonzero(long[1:] & (keys[1:] == keys[:-1]) & (bins[1:] - bins[:-1] <= 1))
     edges = np.stack([classes[at], classes[at + 1]], 1)
@@ -134,7 +139,7 @@ def _spread(keys, classes, n, lasts, percent):
     return edges, keys[keep], classes[keep], n[keep], lasts[keep]
 
 
-def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> DataFrame:
+def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int, most: int = LONG) -> DataFrame:
     """Blobs of postings (shingle, class, size, first bits of the text's last posted shingle) by range of shingles."""
     def run(batches):
         import pyarrow as pa
@@ -143,7 +148,7 @@ def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> Da
         parts, waiting = [], 0
 
         def flush():
-            edges, *rest = _spread(*(np.concatenate(x) for x in zip(*parts)), percent)
+            edges, *rest = _spread(*(np.concatenate(x) for x in zip(*parts)), percent, most)
             keys = rest[0]
             to = (S.mix(keys) % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -183,7 +188,7 @@ def _postings(texts: DataFrame, levels, k: int, percent: int, ranges: int) -> Da
     return texts.select("text").mapInArrow(returning(run), "range int, keys binary, classes binary, n binary, lasts binary, edges binary")
 
 
-def _pairs(keys, classes, n, lasts, percent) -> np.ndarray:
+def _pairs(keys, classes, n, lasts, percent, most=LONG) -> np.ndarray:
     """Rows (class, class, shared shingles, shared shingles needed) from the postings of a range."""
     order = np.lexsort((classes, n, keys))
     keys, classes, n, lasts = keys[order], classes[order], n[order].astype(np.int64), lasts[order]
@@ -194,20 +199,20 @@ def _pairs(keys, classes, n, lasts, percent) -> np.ndarray:
     keys, classes, n, lasts = keys[new], classes[new], n[new], lasts[new].astype(np.int64)
     first = np.flatnonzero(_starts(keys))
     size = np.diff(np.append(first, len(keys)))
-    long = np.repeat((size > LONG) | np.maximum.reduceat(flag, first), size)
+    long = np.repeat((size > most) | np.maximum.reduceat(flag, first), size)
     bins = _bins(n, percent)
     at = np.flatnonzero(long[1:] & (keys[1:] == keys[:-1]) & (bins[1:] - bins[:-1] <= 1))
     out = [_pair_rows(classes[at], classes[at + 1], np.zeros(len(at), np.int64))]
     left = np.repeat(first + size, size) - np.arange(len(keys)) - 1
     rest = (percent * n + 99) // 100 - 1  # elements that aren't posted
     at = np.flatnonzero(~long & (left > 0))
-    for step in range(1, LONG):
+    for step in range(1, most):
         at = at[left[at] >= step]
         if not len(at):
             break
         to = at + step
         ok = 100 * n[at] >= percent * n[to]
-        x, y = at[ok], to[ok]
+        x, y = at, to = at[ok], to[ok]  # what comes after a text that is too large is no smaller
         overlap = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
         beyond = np.where(lasts[x] < lasts[y], rest[x], np.where(lasts[x] > lasts[y], rest[y], np.maximum(rest[x], rest[y])))
         out.append(_pair_rows(classes[x], classes[y], np.maximum(overlap - beyond, 0)))
@@ -224,7 +229,7 @@ def _pair_rows(a, b, need):
     return np.column_stack([np.minimum(a, b), np.maximum(a, b), need])
 
 
-def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+def _candidates(postings: DataFrame, percent: int, most: int = LONG) -> DataFrame:
     """Edges a, b between classes that may link."""
     names = ["a", "b", "shared", "need"]
 
@@ -236,7 +241,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
 
         def flush(rows):
             arrays = [np.frombuffer(b"".join(c), d) for c, d in zip(zip(*rows), (np.uint64, np.int64, np.uint32, np.uint32))]
-            return table(_pairs(*arrays, percent))
+            return table(_pairs(*arrays, percent, most))
 
         last, rows = None, []
         for batch in batches:
@@ -292,9 +297,10 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     space = Workspace(spark, "ngram-join")
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
     signed = space.save(_signed(texts, k))
-    levels = spark.sparkContext.broadcast(_levels(signed))
+    levels, most = _levels(signed)
+    levels = spark.sparkContext.broadcast(levels)
     rows = signed.where("cells is null").select("id", "place", "n", "digest", "class")
-    edges = space.save(_candidates(_postings(texts, levels, k, percent, 4 * shuffle_partitions(spark)), percent))
+    edges = space.save(_candidates(_postings(texts, levels, k, percent, 4 * shuffle_partitions(spark), most), percent, most))
     groups = connected(space, edges)
     classes = space.save(rows.where("n > 0").groupBy("digest").agg(
         F.first("class").alias("class"), F.first("n").alias("n"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "place")).alias("at")))

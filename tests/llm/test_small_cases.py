@@ -318,3 +318,111 @@ def test_graph_search_broadcasts_no_queries(spark):
     want = {(q, int(v)) for q in range(0, 2000, 50) for v in np.argsort(-cos[q])[:5]}
     assert len(got) == 200 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.99 * 200
     assert all(abs(r.score - cos[r.query_id, r.vec_id]) < 1e-12 for r in got)
+
+
+def dense_group(n):
+    """Near copies of one set, of which those with few edits link and the others stay alone."""
+    import numpy as np
+
+    rng, base, sets = np.random.default_rng(4), np.arange(100, dtype=np.uint64), []
+    for i in range(n):
+        edits = int(rng.integers(0, 31))
+        sets.append(np.sort(np.concatenate([rng.permutation(base)[edits:], np.uint64(1000 * (i + 1)) + np.arange(edits, dtype=np.uint64)])))
+    return sets
+
+
+def linked_in_groups(sets):
+    import numpy as np
+
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("wide", [64, 0])
+def test_near_copies_of_several_blocks_meet_once(spark, monkeypatch, wide):
+    """No pair of leaders brings all of its members' sets to a task, whether half blocks meet at once or after the rounds."""
+    settled, plain = [], linking._settle
+    monkeypatch.setattr(linking, "WIDE", wide)
+    monkeypatch.setattr(linking, "_settle", lambda cells, percent: settled.append(cells.count()) or plain(cells, percent))
+    sets = dense_group(120)
+    names = [bytes([i]) for i in range(len(sets))]
+    rows = spark.createDataFrame([(1, bytearray(n), bytearray(s.tobytes())) for n, s in zip(names, sets)], "grp long, item binary, items binary")
+    sizes = rows.groupBy("grp").agg(F.count("item").alias("n"), F.sum(F.length("items") / 8).alias("m"))
+    monkeypatch.setattr(linking, "MERGED", 1.0)
+    got = linking.link_groups(linking.Workspace(spark, "test"), linking.blocked(rows, sizes, 60, 10**6), 80, True, 60, 10**6).collect()
+    label, plain_label = {bytes(r.item): bytes(r.root) for r in got}, linked_in_groups(sets)
+    assert len(got) == len(sets) and sum(settled) == 0
+    for i in range(len(sets)):
+        for j in range(i):
+            assert (label[names[i]] == label[names[j]]) == (plain_label[i] == plain_label[j])
+
+
+def test_components_of_equals_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        sets = []
+        for _ in range(rng.integers(1, 4)):  # one near-copied text, or several, so that over half of the sets hold nothing
+            base = rng.integers(0, 10**6, rng.integers(1, 60), dtype=np.uint64)
+            for _ in range(rng.integers(1, 20)):
+                own, m = base.copy(), rng.integers(0, len(base) // 3 + 1)
+                own[rng.integers(0, len(base), m)] = rng.integers(10**6, 10**6 + (3, 30, 10**6)[trial % 3], m, dtype=np.uint64)
+                sets.append(np.unique(own[: len(own) - rng.integers(0, len(own) // 6 + 1)]))
+        assert linking.components_of(sets, 80).tolist() == linked_in_groups(sets)
+
+
+def test_lists_that_counters_cannot_tell_from_chance_are_paired_up():
+    """A shingle of 120 unlike texts among counters of 400 each: chained it would join all of them to one group."""
+    import numpy as np
+
+    counts = np.full(jaccard.CELLS, 400)
+    counts[::1000] += 120
+    most = stub_levels(counts)[1]
+    assert most >= 120
+    n = np.full(120, 1000, np.uint32)
+    pairs = jaccard._pairs(np.full(120, 7, np.uint64), np.arange(120, dtype=np.int64), n, n, 80, most)
+    assert len(pairs) == 120 * 119 // 2 and (pairs[:, 3] > pairs[:, 2]).all()
+
+
+def test_counts_are_kept_finely():
+    import numpy as np
+
+    counts = np.full(jaccard.CELLS, 400)
+    counts[5] += 70  # over chance, in a step of a fifth it was not to be seen
+    levels = stub_levels(counts)[0]
+    assert levels[5] == 1 and levels[4] == 0
+
+
+def stub_levels(counts):
+    """_levels of given counts, without Spark: what its task makes of them."""
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    class Signed:
+        where = select = repartition = lambda self, *a: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def collect(self):
+            parts = np.asarray(counts, np.uint32).reshape(1 << jaccard.RANGE_BITS, -1)
+            blobs = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in parts]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["cells", "counts"])
+            return [SimpleNamespace(cells=r["cells"], q=r["q"]) for b in self.run([batch]) for r in b.to_pylist()]
+
+    return jaccard._levels(Signed())
