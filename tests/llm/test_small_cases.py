@@ -360,7 +360,6 @@ def test_near_copies_of_several_blocks_meet_once(spark, monkeypatch, wide):
     names = [bytes([i]) for i in range(len(sets))]
     rows = spark.createDataFrame([(1, bytearray(n), bytearray(s.tobytes())) for n, s in zip(names, sets)], "grp long, item binary, items binary")
     sizes = rows.groupBy("grp").agg(F.count("item").alias("n"), F.sum(F.length("items") / 8).alias("m"))
-    monkeypatch.setattr(linking, "MERGED", 1.0)
     got = linking.link_groups(linking.Workspace(spark, "test"), linking.blocked(rows, sizes, 60, 10**6), 80, True, 60, 10**6).collect()
     label, plain_label = {bytes(r.item): bytes(r.root) for r in got}, linked_in_groups(sets)
     assert len(got) == len(sets) and sum(settled) == 0
