@@ -20,9 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (at or "/tmp/checkpoints").rstrip("/")
 
 
+#: Shuffle files of a query are removed when it ends, not when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables written once to the shared folder. A reader of such a table does not depend on the executors that wrote it,
-    so a lost executor costs its own tasks only. drop() removes tables that later steps don't read."""
+    so a lost executor costs its own tasks only. drop() removes tables that later steps don't read, clear() all of them. What a
+    table was shuffled for is removed as soon as it is written."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -31,16 +36,26 @@ class Workspace:
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(FREED, None)
+        self.spark.conf.set(FREED, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREED, was) if was is not None else self.spark.conf.unset(FREED)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pl_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._pl_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._pl_path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

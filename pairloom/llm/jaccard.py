@@ -281,20 +281,29 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(returning(run), kind)
 
 
-def _among(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """texts without most of those that are no member, so that these aren't shuffled: a bitmap of 2**24 hashes as at most 2**18
-    rows of 64 bits, whose size bounds the broadcast. With very many members it lets more texts by, never fewer."""
+def _in_bitmap(rows: DataFrame, place: str, keys: DataFrame, at: str, name: str) -> DataFrame:
+    """rows with the boolean ``name``: false only if no key has ``at`` equal to the row's ``place``. A bitmap of 2**24 hashes as at
+    most 2**18 rows of 64 bits, whose size bounds the broadcast. With very many keys it is true for more rows, never for fewer."""
     word = lambda c: F.shiftrightunsigned(c, 46)
-    bits = members.groupBy(word(F.col("at_place")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(at_place, 40) & 63 as int))")).alias("bits"))
-    held = F.expr("shiftrightunsigned(bits, cast(shiftrightunsigned(place, 40) & 63 as int)) & 1") == 1
-    return texts.join(F.broadcast(bits), word(F.col("place")) == F.col("word")).where(held).drop("word", "bits")
+    bits = keys.groupBy(word(F.col(at)).alias(OWN + "word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({at}, 40) & 63 as int))")).alias(OWN + "bits"))
+    held = F.expr(f"shiftrightunsigned({OWN}bits, cast(shiftrightunsigned({place}, 40) & 63 as int)) & 1") == 1
+    rows = rows.join(F.broadcast(bits), word(F.col(place)) == F.col(OWN + "word"), "left")
+    return rows.withColumn(name, F.coalesce(held, F.lit(False))).drop(OWN + "word", OWN + "bits")
+
+
+def _among(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """texts without most of those that are no member, so that these aren't shuffled."""
+    return _in_bitmap(texts, "place", members, "at_place", "held").where("held").drop("held")
 
 
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80) -> DataFrame:
     """One row a row of docs: its id under its name, n_shingles, component_id (the smallest id of all that links reach),
     component_class (a digest that names the component even where ids are null or repeated) and text_hash (xxhash64)."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "ngram-join")
+    return _joined(Workspace(docs.sparkSession, "ngram-join"), docs, doc_id, text, k, percent)
+
+
+def _joined(space: Workspace, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    spark = space.spark
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
     signed = space.save(_signed(texts, k))
     levels, most = _levels(signed)
@@ -302,6 +311,7 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     rows = signed.where("cells is null").select("id", "place", "n", "digest", "class")
     edges = space.save(_candidates(_postings(texts, levels, k, percent, 4 * shuffle_partitions(spark), most), percent, most))
     groups = connected(space, edges)
+    space.drop(edges)
     classes = space.save(rows.where("n > 0").groupBy("digest").agg(
         F.first("class").alias("class"), F.first("n").alias("n"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "place")).alias("at")))
     members = classes.join(groups, F.col("class") == F.col("node")).select(
@@ -322,14 +332,39 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = S.SHINGLE, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component: the one of the smallest id (null last), then of the smallest text
-    hash. Rows without shingles all stay."""
-    found = ngram_join(docs, doc_id=doc_id, text=text, k=k, percent=percent)
-    row = F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("text_hash").alias("hash"))
+    hash. Rows without shingles all stay.
+
+    Texts are not shuffled to learn which of them stay: a bitmap of what doesn't stay whole lets most kept rows pass where they
+    are read, a bitmap of kept rows that the first one holds drops most others, and only rows in both are joined."""
+    spark = docs.sparkSession
+    join, space = Workspace(spark, "ngram-join"), Workspace(spark, "keep-one")
+    key = [OWN + "id", OWN + "hash"]
+    found = _joined(join, docs, doc_id, text, k, percent).select(F.col(doc_id).alias(key[0]), F.col("text_hash").alias(key[1]), F.col("component_class").alias("class"), "n_shingles")
+    found = space.save(found)
+    join.clear()
+    row = F.struct(F.col(key[0]).isNull().alias("no"), *key)
     alone = F.when(F.col("n_shingles") == 0, row)
-    kept = found.groupBy("component_class", alone.alias("alone")).agg(F.min(row).alias("row"), F.max("n_shingles").alias("n"))
-    kept = kept.select(F.col("row.id").alias(OWN + "id"), F.col("row.hash").alias(OWN + "kept"), (F.col("n") == 0).alias(OWN + "all"))
-    rows = docs.withColumn(OWN + "hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col(OWN + "id")) & (F.col(OWN + "hash") == F.col(OWN + "kept")))
-    again = Window.partitionBy(OWN + "id", OWN + "kept").orderBy(OWN + "all")
-    rows = rows.withColumn(OWN + "n", F.row_number().over(again)).where(F.col(OWN + "all") | (F.col(OWN + "n") == 1))
-    return rows.select(*[F.col(c) for c in docs.columns])
+    kept = found.groupBy("class", alone.alias("alone")).agg(F.min(row).alias("row"), F.max("n_shingles").alias("n"))
+    kept = kept.select("row.*", (F.col("n") == 0).alias("every"), F.lit(0).alias("times")).drop("no")
+    both = kept.unionByName(found.select(*key, F.lit(None).cast("boolean").alias("every"), F.lit(1).alias("times")))
+    marks = both.groupBy(*key).agg(F.max("every").alias("every"), F.sum("times").alias("times"))
+    # stays: null for rows that all go, true for rows that all stay, false for repeated rows of which one stays.
+    marks = marks.select(*key, F.when(F.col("every").isNotNull(), F.col("every") | (F.col("times") == 1)).alias("stays"))
+    marks = space.save(_placed(marks, key))
+    space.drop(found)
+    partly = marks.where("stays is null or not stays")
+    near = _in_bitmap(marks.where("stays is not null"), OWN + "one", partly, OWN + "one", "held").where("held")
+    near = space.save(near.select(F.col(key[0]).alias("near_id"), F.col(key[1]).alias("near_hash"), F.col("stays").alias(OWN + "stays"), F.col(OWN + "two").alias("near_two")))
+    rows = docs.withColumn(key[0], F.col(doc_id)).withColumn(key[1], F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = _in_bitmap(_placed(rows, key), OWN + "one", partly, OWN + "one", OWN + "partly")
+    doubt = _in_bitmap(rows.where(OWN + "partly"), OWN + "two", near, "near_two", OWN + "near").where(OWN + "near")
+    doubt = doubt.join(near, F.col(key[0]).eqNullSafe(F.col("near_id")) & (F.col(key[1]) == F.col("near_hash")))
+    again = Window.partitionBy(*key).orderBy(OWN + "stays")
+    doubt = doubt.withColumn(OWN + "n", F.row_number().over(again)).where(F.col(OWN + "stays") | (F.col(OWN + "n") == 1))
+    columns = [F.col(c) for c in docs.columns]
+    return rows.where(~F.col(OWN + "partly")).select(*columns).unionByName(doubt.select(*columns))
+
+
+def _placed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with two hashes of their key, for two bitmaps."""
+    return rows.withColumn(OWN + "one", F.xxhash64(*key)).withColumn(OWN + "two", F.xxhash64(*key, F.lit(2)))
