@@ -25,7 +25,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MEMO, MEMO_CHARS, ROWS = 1_000_000, 48, 200
+from .common import portions, returning
+
+MEMO, MEMO_CHARS, ROWS = 1 << 17, 48, 200
 SHIFT = 24
 MAX_VOCABULARY = 2_000_000
 #: The pre-token pattern in terms of the standard library's classes, for texts in which these agree with \p{L} and \p{N}.
@@ -258,21 +260,19 @@ def encode(docs: DataFrame, codec: Codec, *, text: str = "text", packed: bool =
         import pyarrow as pa
 
         own = shared.value
-        for big in batches:
-            for at in range(0, big.num_rows, ROWS):
-                batch = big.slice(at, ROWS)
-                ids = [own.encode(x or "") for x in batch.column(text).to_pylist()]
-                out = [batch.column(c) for c in kept] + [pa.array([len(x) // 4 for x in ids], pa.int64())]
-                if packed:
-                    out.append(pa.array(ids, pa.binary()))
-                else:
-                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
-                if decoded:
-                    out.append(pa.array(own.decode(ids), pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, [*kept, *added])
+        for batch in portions(batches, text):
+            ids = [own.encode(x or "") for x in batch.column(text).to_pylist()]
+            out = [batch.column(c) for c in kept] + [pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if packed:
+                out.append(pa.array(ids, pa.binary()))
+            else:
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            if decoded:
+                out.append(pa.array(own.decode(ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, [*kept, *added])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(returning(run), schema)
 
 
 def decode(docs: DataFrame, codec: Codec, *, ids: str = "ids") -> DataFrame:
@@ -293,4 +293,4 @@ def decode(docs: DataFrame, codec: Codec, *, ids: str = "ids") -> DataFrame:
                 texts = own.decode([x or b"" if packed else array("I", x or ()).tobytes() for x in found])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.binary())], [*kept, "decoded"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(returning(run), schema)

@@ -78,5 +78,21 @@ def returning(run):
     return whole
 
 
+def portions(batches, column: str, rows: int = 256, size: int = 1 << 18):
+    """Arrow batches in portions of at most so many rows and, where it is more than a row, so many bytes of a text column."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(upto, upto[at] + size, "right")) - 1
+            end = min(max(end, at + 1), at + rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,8 @@ ratio statistic says that they depend on the label (at most ``FEATURES``) enter
 text's score is its probability.
 
 Training reads at most ``SAMPLE`` labelled texts, the ones of lowest hash of their id, so that the driver's part is bounded
-at any input size. Scoring reads every text whole, in blocks.
+at any input size. Scoring reads every text whole, in blocks. Blocks and portions of batches are small: a worker's memory
+comes on top of an executor's heap, which a long session fills.
 
 Defined results: a null or empty text is scored as one without features, by the model's intercept; a null label or id is
 not learnt from; of several labels of an id the highest counts; without any training text every score is 0.5.
@@ -20,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace
+from .common import Workspace, portions, returning
 
 ORDERS, DIM_BITS = (3, 4, 5), 20
 DIMS, SAMPLE, FEATURES, LEAST_G = 1 << DIM_BITS, 24_000, 16_384, 20.0
-BLOCK, ROWS, RANGES, SLICE = 1 << 20, 256, 16, 500_000
+BLOCK, HELD, RANGES, SLICE = 1 << 17, 1 << 19, 16, 500_000
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, (max(ORDERS) + 1, max(ORDERS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -44,16 +45,16 @@ def _pieces(texts):
         yield _joined(waiting)
 
 
-def _joined(parts):
-    points = np.frombuffer("".join(x for _, x in parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _joined(waiting):
+    points = np.frombuffer("".join(x for _, x in waiting).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     points[(points >= 9) & (points <= 13)] = 32
-    ends = np.cumsum([len(x) for _, x in parts])
-    return points, ends, np.array([i for i, _ in parts])
+    ends = np.cumsum([len(x) for _, x in waiting])
+    return points, ends, np.array([i for i, _ in waiting], np.int64)
 
 
 def hits(texts, table: np.ndarray):
     """Distinct (text, number) of the features with table[feature] >= 0, table giving their numbers."""
-    found = [np.empty((0, 2), np.int64)]
+    found, held, most = [np.empty(0, np.int64)], 0, HELD
     for points, ends, owner in _pieces(texts):
         for n in ORDERS:
             if len(points) < n:
@@ -67,22 +68,15 @@ def hits(texts, table: np.ndarray):
             at = np.flatnonzero(number >= 0)
             part = np.searchsorted(ends, at, "right")
             inside = at + n <= ends[part]
-            found.append(np.unique(np.stack([owner[part[inside]], number[at[inside]].astype(np.int64)], 1), axis=0) if len(at) < 4096 else _distinct(owner[part[inside]], number[at[inside]]))
-    both = np.concatenate(found)
-    return _distinct(both[:, 0], both[:, 1])
-
-
-def _distinct(a, b):
-    code = np.unique(a.astype(np.int64) << np.int64(32) | b.astype(np.int64))
+            found.append(np.unique(owner[part[inside]] << np.int64(32) | number[at[inside]].astype(np.int64)))
+            held += len(found[-1])
+        if held > most:  # the parts of a long text hold the same features again and again
+            found = [np.unique(np.concatenate(found))]
+            held, most = len(found[0]), 2 * len(found[0]) + HELD
+    code = np.unique(np.concatenate(found))
     return np.stack([code >> np.int64(32), code & np.int64(0xFFFFFFFF)], 1)
 
 
-def _slices(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """By label how many texts hold each feature (2 x DIMS), and how many texts there are. Counters are summed on the
     executors, a range of features at a time."""
@@ -92,7 +86,7 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
 
         own, every, some = np.zeros((RANGES, width), np.uint32), np.arange(DIMS, dtype=np.int32), False
-        for batch in _slices(batches):
+        for batch in portions(batches, "text"):
             label = np.array(batch.column("label").to_pylist(), np.int64)
             pairs = hits(batch.column("text").to_pylist(), every)
             np.add.at(own.reshape(-1), pairs[:, 1] * 2 + label[pairs[:, 0]], 1)
@@ -115,7 +109,7 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     kind = "part int, counts binary"
     out = np.zeros((RANGES, width), np.uint32)
-    for row in sample.select("text", "label").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect():
+    for row in sample.select("text", "label").mapInArrow(returning(count), kind).repartition("part").mapInArrow(returning(add), kind).collect():
         out[row.part] = np.frombuffer(pa.decompress(row.counts, width * 4, "zstd"), np.uint32)
     texts = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     return out.reshape(DIMS, 2).T, np.array([texts.get(0, 0), texts.get(1, 0)])
@@ -144,13 +138,18 @@ def _fit(cols: np.ndarray, lengths: np.ndarray, values: np.ndarray, y: np.ndarra
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     upto = np.concatenate(([0], np.cumsum(lengths)))
     cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1], SLICE)), len(y)))
-    slices = [(i, j, np.repeat(np.arange(j - i, dtype=np.int32), lengths[i:j]), cols[upto[i] : upto[j]]) for i, j in zip(cuts, cuts[1:])]
+    slices = []
+    for i, j in zip(cuts, cuts[1:]):
+        some = np.flatnonzero(lengths[i:j])  # the sum over a row's features is asked for where it has any
+        slices.append((i, j, some, upto[i:j][some] - upto[i], cols[upto[i] : upto[j]]))
     for t in range(1, steps + 1):
         grad, scaled = np.zeros(len(w) + 1), w * values
-        for i, j, rows, own in slices:
-            z = np.bincount(rows, scaled[own], j - i) + b
+        for i, j, some, starts, own in slices:
+            z = np.full(j - i, b)
+            if len(some):
+                z[some] += np.add.reduceat(scaled[own], starts)
             error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[i:j]) / len(y)
-            grad[:-1] += np.bincount(own, error[rows], len(w))
+            grad[:-1] += np.bincount(own, np.repeat(error, lengths[i:j]), len(w))
             grad[-1] += error.sum()
         grad[:-1] = grad[:-1] * values + penalty * w / len(w)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -194,13 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     def present(batches):
         import pyarrow as pa
 
-        for batch in _slices(batches):
+        for batch in portions(batches, "text"):
             pairs = hits(batch.column("text").to_pylist(), table.value)
             cuts = np.searchsorted(pairs[:, 0], np.arange(batch.num_rows + 1))
             packed = [pairs[a:b, 1].astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], ["label", "features"])
 
-    rows = chosen.select("text", "label").mapInArrow(present, "label int, features binary").collect()
+    rows = chosen.select("text", "label").mapInArrow(returning(present), "label int, features binary").collect()
     rows.sort(key=lambda r: (r.label, r.features))  # whatever order they came in, the fit is the same
     lengths = np.array([len(r.features) // 2 for r in rows])
     y = np.array([float(r.label) for r in rows])
@@ -220,13 +219,13 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", drop_text: bool
         import pyarrow as pa
 
         table, weights, bias = shared.value
-        for batch in _slices(batches):
+        for batch in portions(batches, text):
             pairs = hits(batch.column(text).to_pylist(), table)
             z = np.bincount(pairs[:, 0], weights[pairs[:, 1]], batch.num_rows) + bias
             out = pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], out], [*kept, "score"])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(returning(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
