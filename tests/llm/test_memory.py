@@ -1,10 +1,12 @@
 """What a Python worker holds at once comes on top of an executor's heap: it must not follow the rows or texts of a batch."""
 
+import itertools
 import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pairloom.llm import bpe, common, toxicity
 
@@ -60,3 +62,42 @@ def test_remembered_tokens_are_bounded():
     finally:
         tracemalloc.stop()
     assert held < 32e6 and codec.encode("abcab abd") == before, held
+
+
+def test_many_different_pieces_are_merged_once_in_bounded_memory(monkeypatch):
+    """More than the dictionary of old held, twice: emptied when full, it had nearly all of them merged again."""
+    codec = bpe.Codec({bytes([c]): c for c in range(256)} | {b"ab": 256, b"abc": 257})
+    calls, merge, letters = [0], codec.merge, "abcdefghijklmnopqrstuvwxyz"
+
+    def counted(piece):
+        calls[0] += 1
+        return merge(piece)
+
+    def texts():
+        words = map("".join, itertools.islice(itertools.product(letters, repeat=4), 200_000))
+        while some := list(itertools.islice(words, 5_000)):
+            yield [" ".join(some[at : at + 500]) for at in range(0, len(some), 500)]
+
+    monkeypatch.setattr(codec, "merge", counted)
+    tracemalloc.start()
+    try:
+        for _ in range(2):
+            for some in texts():
+                ids = codec.encode_all(some)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert ids == [codec.encode(x) for x in some]
+    assert calls[0] < 1.3 * 200_000 and held < 32e6, (calls, held)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_rows_of_other_pieces_are_never_taken(monkeypatch, wide):
+    """Two rows for all pieces there are: a hit must be of the piece's own bytes."""
+    monkeypatch.setattr(bpe, "ROOM", 2 * bpe.ROW * (4 if wide else 2))
+    ranks = {bytes([c]): c for c in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, "é".encode(): 70_000 if wide else 259}
+    codec, rng = bpe.Codec(ranks), random.Random(5)
+    texts = ["", *("".join(rng.choices("aabbcé 1", k=rng.randrange(60))) for _ in range(600)), "a" * 300 + " " + "b" * 300]
+    for got, text in zip(codec.encode_all(texts) + codec.encode_all(texts[::-1])[::-1], texts * 2):
+        assert list(bpe.unpack(got)) == [i for p in codec.cut(text) for i in ([codec.whole(p.encode())] if p.encode() in ranks else codec.merge(p.encode()))]
+    assert b"".join(codec.decode(codec.encode_all(texts))) == "".join(texts).encode()
